@@ -1 +1 @@
-
+"""Reusable column expressions."""

@@ -1 +1 @@
-
+"""The operators as queries over the driver's tables, each with its DuckDB SQL."""

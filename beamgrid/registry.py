@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,18 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    from beamgrid import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{m.name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
