@@ -94,13 +94,14 @@ def words(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offsets), is_word)
 
 
-def span_hashes(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; values holds the runs one after another, none of them empty."""
+def span_hashes(values: np.ndarray, lengths: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; values holds the runs one after another, none of them empty. Families are independent."""
     if not len(lengths):
         return np.zeros(0, np.uint64)
     at = np.cumsum(lengths) - lengths
     place = np.arange(len(values)) - np.repeat(at, lengths)
-    weights = _position_weights(int(lengths.max()))
+    place += 3 * family  # other weights for each place
+    weights = _position_weights(int(lengths.max()) + 3 * family)
     return mixed(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * weights[place], at))
 
 

@@ -11,6 +11,8 @@ Files hold documents in ascending doc_id, file after file. A block holds whole d
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _stage
+from . import _text as t
 
 LIMIT, INTERVAL, BLOCK_TOKENS = 20, 128, 1 << 16
-#: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+#: Distinct pre-tokens whose ids a worker remembers.
+MEMO_PIECES = 1_500_000
 TOKENS_PER_FILE = 64 << 20
 
 
@@ -113,61 +116,201 @@ def unpack(payload: bytes, checkpoints: bytes, n: int, table: np.ndarray, bits:
     return out.ravel()[:n]
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32) of each row; a null text is empty.
-
-    This tokenizer drops white space and never joins across it, so a text is cut at ASCII white space and each distinct
-    piece is encoded once by the library; tests hold the result against whole-text encoding.
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+#: Classes of two-byte characters by second byte, after 0xC2 and after 0xC3 (Latin-1).
+_AFTER_C2, _AFTER_C3 = np.full(256, _ODD, np.uint8), np.full(256, _ODD, np.uint8)
+_AFTER_C2[0xA1:0xC0] = _OTHER
+_AFTER_C2[[0xAA, 0xB5, 0xBA]] = _LETTER
+_AFTER_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _DIGIT
+_AFTER_C3[0x80:0xC0] = _LETTER
+_AFTER_C3[[0x97, 0xB7]] = _OTHER
+
+
+def _classes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A lower-cased copy of some UTF-8 bytes and each byte's class, that of its character. Latin-1 and common dashes and quotes are known, the rest is odd."""
+    low, kind = t.LOWER[buf], _CLASS[buf]
+    for lead, table in ((0xC2, _AFTER_C2), (0xC3, _AFTER_C3)):
+        at = np.flatnonzero(buf == lead)
+        kind[at] = kind[at + 1] = table[buf[at + 1]]
+        if lead == 0xC3:
+            up = at[(buf[at + 1] <= 0x9E) & (buf[at + 1] != 0x97)] + 1
+            low[up] += 0x20
+    at = np.flatnonzero(buf == 0xE2)
+    at = at[(buf[at + 1] == 0x80) & (buf[at + 2] >= 0x90) & (buf[at + 2] <= 0xA7)]
+    for k in range(3):
+        kind[at + k] = _OTHER
+    return low, kind
+
+
+class _Pieces:
+    """Ids of whole texts: pre-tokens are cut here, and each distinct one goes through the library's BPE once while it is remembered.
+
+    The tokenizer lower-cases, drops white space and cuts texts to contractions, runs of letters, single digits and runs of other
+    characters. Texts of characters whose class is plain are cut in numpy and their pieces told apart by two 64-bit hashes; any other
+    text, and one that names a special token, goes through the whole tokenizer. Tests hold both against whole-text encoding.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core: the library's own threads would only contend
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        memo: dict[bytes, int] = {}
-        flat, first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)  # ids of all pieces, and where each begins
-        used = 0
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        self.specials = [x["content"].encode() for x in spec["added_tokens"]]
+        spec["normalizer"], spec["pre_tokenizer"] = None, spec["pre_tokenizer"]["pretokenizers"][1]
+        self.bpe = Tokenizer.from_str(json.dumps(spec))
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _bpe(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(pieces), 4096):
+            e = self.bpe.encode(pieces[k : k + 4096], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces[k : k + 4096])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        if len(self.keys) + len(keys) > MEMO_PIECES:
+            self.forget()
+        ids, sizes = self._bpe(pieces)
+        first = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, sizes)
+
+    def chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all rows of a chunk, how many each row has, and which rows are odd (those have none)."""
+        rows = len(offsets) - 1
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        low, kind = (x[: len(buf)] for x in _classes(padded))
+        odd = np.zeros(rows, bool)
+        strange = np.flatnonzero(kind == _ODD)
+        odd[np.searchsorted(offsets, strange, "right") - 1] = True
+        raw = buf.tobytes()
+        for s in self.specials:
+            at = raw.find(s)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        if odd.any():
+            kind[np.repeat(odd, np.diff(offsets))] = _SPACE
+        used = kind != _SPACE
+        begins = used.copy()
+        fresh = np.zeros(len(buf) + 1, bool)
+        fresh[offsets] = True
+        if len(buf):
+            begins[1:] &= (kind[1:] != kind[:-1]) | fresh[1:-1] | ((kind[1:] == _DIGIT) & ((buf[1:] & 0xC0) != 0x80))
+        start = np.flatnonzero(begins)
+        n = np.diff(np.append(np.cumsum(used)[start] - 1, used.sum()))  # pieces are runs of used bytes
+        start, n = _contractions(low, kind, start, n)
+        count = np.searchsorted(start, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(rows, np.int64), odd
+        values = low[used]
+        h, check = t.span_hashes(values, n), t.span_hashes(values, n, 1)
+        key, which, back = np.unique(h, return_index=True, return_inverse=True)
+        for attempt in range(2):
+            at = np.searchsorted(self.keys, key)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == key[known]
+            if known.all():
+                break
+            w = which[~known]
+            view = low.tobytes()
+            pieces = [view[a : a + k].decode() for a, k in zip(start[w].tolist(), n[w].tolist(), strict=True)]
+            before = len(self.keys)
+            self._learn(key[~known], check[w], pieces)
+            if len(self.keys) < before + len(w):  # it forgot the others
+                self._relearn(key[known], check[which[known]], low, start[which[known]], n[which[known]])
+        at = np.searchsorted(self.keys, key)[back]
+        if not (self.checks[at] == check).all():
+            raise ValueError("two pieces share a 64-bit hash")
+        m = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(m)])
+        ids = self.flat[np.repeat(self.first[at] - upto[:-1], m) + np.arange(upto[-1])]
+        return ids, upto[count[1:]] - upto[count[:-1]], odd
+
+    def _relearn(self, keys: np.ndarray, checks: np.ndarray, low: np.ndarray, start: np.ndarray, n: np.ndarray) -> None:
+        view = low.tobytes()
+        self._learn(keys, checks, [view[a : a + k].decode() for a, k in zip(start.tolist(), n.tolist(), strict=True)])
+
+    def rows(self, texts: pa.Array, end_id: int, kind: str) -> Iterator[tuple[list[int], list[bytes]]]:
+        """For chunks of texts: how many ids each has, and the ids, the end id last."""
+        end = np.array([end_id], kind).tobytes()
+        for row, buf, offsets in t.chunks(texts):
+            ids, sizes, odd = self.chunk(buf, offsets)
+            data, step = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            upto = (np.concatenate([[0], np.cumsum(sizes)]) * step).tolist()
+            out = [data[a:b] + end for a, b in zip(upto, upto[1:])]
+            for r in np.flatnonzero(odd).tolist():
+                e = self.whole.encode(texts[row + r].as_py() or "", add_special_tokens=False)
+                out[r] = np.array(e.ids, kind).tobytes() + end
+            yield [len(x) // step for x in out], out
+
+
+def _contractions(low: np.ndarray, kind: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An apostrophe alone, right before letters that begin with s, t, m, d, re, ve or ll, takes those."""
+    apostrophe = np.flatnonzero((low[start] == 0x27) & (n == 1))
+    apostrophe = apostrophe[apostrophe + 1 < len(start)]
+    k = apostrophe[(start[apostrophe + 1] == start[apostrophe] + 1) & (kind[start[apostrophe + 1]] == _LETTER)]
+    if not len(k):
+        return start, n
+    a = low[start[k + 1]]
+    b = np.where(n[k + 1] > 1, low[np.minimum(start[k + 1] + 1, len(low) - 1)], 0)
+    take = np.where(np.isin(a, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+    take = np.where(((a == 0x72) | (a == 0x76)) & (b == 0x65) | (a == 0x6C) & (b == 0x6C), 2, take)
+    start, n = start.copy(), n.copy()
+    n[k] += take
+    start[k + 1] += take
+    n[k + 1] -= take
+    left = n > 0
+    return start[left], n[left]
+
+
+_memo: dict[str, _Pieces] = {}
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian, of width(vocabulary)) of each row; a null text is empty."""
+    kind = width(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer_path not in _memo:  # a worker serves many tasks
+            _memo[tokenizer_path] = _Pieces(tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), 256):
-                pieces = [(x or "").encode().split() for x in texts[lo : lo + 256].to_pylist()]
-                new = list({w for p in pieces for w in p if w not in memo})
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    used, new = 0, list({w for p in pieces for w in p})
-                for k, e in enumerate(tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    m = len(memo)
-                    memo[new[k]] = m
-                    if m + 2 > len(first):
-                        first = np.concatenate([first, np.zeros(len(first), np.int64)])
-                    while used + len(e.ids) > len(flat):
-                        flat = np.concatenate([flat, np.zeros(len(flat), np.uint32)])
-                    flat[used : used + len(e.ids)] = e.ids
-                    used += len(e.ids)
-                    first[m + 1] = used
-                ids, sizes = [], []
-                for p in pieces:
-                    at = np.fromiter(map(memo.__getitem__, p), np.int64, len(p))
-                    n = first[at + 1] - first[at]
-                    total = int(n.sum())
-                    row = np.empty(total + 1, "<u4")
-                    row[:total] = flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(total)]
-                    row[total] = end_id
-                    ids.append(row.tobytes())
-                    sizes.append(total + 1)
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 256], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            keys, texts, at = batch.column(0), batch.column(1), 0
+            for sizes, ids in _memo[tokenizer_path].rows(texts, end_id, kind):
+                yield pa.RecordBatch.from_arrays([keys[at : at + len(sizes)], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                at += len(sizes)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def width(vocabulary: int) -> str:
+    """The numpy type of staged ids."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs; the driver gets a row for each id of the vocabulary at most."""
+    kind = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=vocabulary)
+                counts += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
@@ -180,7 +323,7 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 BLOCKS = "file int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 
 
-def _encoded(lengths: np.ndarray):
+def _encoded(lengths: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, file = canonical_codes(lengths), TaskContext.get().partitionId()
         block, before, held, docs, sizes, tokens = 0, 0, [], [], [], 0
@@ -194,7 +337,7 @@ def _encoded(lengths: np.ndarray):
 
         for batch in batches:
             for d, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held.append(np.frombuffer(x.as_buffer(), "<u4"))
+                held.append(np.frombuffer(x.as_buffer(), kind))
                 docs.append(d)
                 sizes.append(n)
                 tokens += n
@@ -214,13 +357,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
     An empty table gives a file set without blocks. Extra columns are not read. A worker holds a block of ids, or one document.
     """
     spark = docs.sparkSession
-    tokens = _stage.stored(tokenised(docs, tokenizer_path, end_id, doc_id, text), "tokens")
+    tokens = _stage.stored(tokenised(docs, tokenizer_path, end_id, vocabulary, doc_id, text), "tokens")
     counts = id_counts(tokens, vocabulary)
     lengths = code_lengths(counts)
     spark.createDataFrame([(LIMIT, bytearray(lengths.tobytes()))], "limit_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // TOKENS_PER_FILE + 1)
     ordered = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_encoded(lengths), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(_encoded(lengths, width(vocabulary)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
