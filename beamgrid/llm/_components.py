@@ -27,13 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     a and b are of one orderable type; null ends and loops are dropped, repeated edges count once. Rows with a hot node are
     pre-aggregated to its smallest neighbour, and meet it in a plain equi-join, which adaptive execution splits. Each round is
-    checkpointed; the driver sees a count and a sum for each.
+    written to the shared folder; the driver sees a count and a sum for each.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = _stage.frozen(e), None
+    # Tables, not checkpoints, between rounds: a checkpoint keeps its plan's size estimate, which multiplies with every join.
+    e, before = _stage.stored(e, "edges"), None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
-        e = _stage.frozen(_small(_large(e)))
+        e = _stage.stored(_small(_large(e)), "edges")
