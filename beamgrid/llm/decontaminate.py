@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -96,34 +96,32 @@ def find(buf: np.ndarray, offsets: np.ndarray, grams: Grams, filters: dict[int,
     return w.counts.astype(np.int64), spans, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with a struct `found` (n_words, spans, items) beside each row.
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES, into: str = "found") -> DataFrame:
+    """docs with a struct (`found`) (n_words, spans, items) beside each row.
 
     Words are runs of letters and digits after lower-casing A-Z (any character beyond ASCII is a letter). A window is `width`
     consecutive words of an item; a shorter item, if it has words, is one window. Null texts have no words. An empty benchmark hits
     nothing. Repeated rows are judged each by itself; repeated items count once by id (a null id is the id "null"). Columns of docs
-    stay, and one named `found` is replaced. Benchmarks beyond broadcast_bytes are split by item, and docs are scanned once for each part.
+    stay, but for one named as `into` says, which is replaced. Benchmarks beyond broadcast_bytes are split by item, and docs are scanned once for each part.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x"))
     size = items.agg(F.sum(F.octet_length("x") + F.octet_length("i") + 64)).first()[0] or 0
     parts = -(-size // broadcast_bytes) or 1
-    out = None
-    columns = [c for c in docs.columns if c != "found"]
-    out = docs.select(*columns)
+    out = docs.select(*[c for c in docs.columns if c != into])
     for p in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "x"), F.lit(parts)) == p)
         shared = spark.sparkContext.broadcast(Grams([tuple(r) for r in own.collect()], width))
         out = out.withColumn(f"_found{p}", _finder(shared)(F.col(text)))
     if parts == 1:
-        return out.withColumnRenamed("_found0", "found")
+        return out.withColumnRenamed("_found0", into)
     every = [f"_found{p}" for p in range(parts)]
     merged = F.struct(
         F.col("_found0.n_words").alias("n_words"),
         F.flatten(F.array(*[F.col(f"{c}.spans") for c in every])).alias("spans"),
         F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in every]))).alias("items"),
     )
-    return out.withColumn("found", merged).drop(*every)
+    return out.withColumn(into, merged).drop(*every)
 
 
 def _finder(shared: Any):
@@ -149,17 +147,27 @@ def _finder(shared: Any):
 
 def judged(scanned: DataFrame, share_of: int = 20) -> DataFrame:
     """scan()'s result with n_words, n_hit, n_items, items_sha256, contaminated (a `share_of`-th of the words are hit, one at least)."""
-    spans = F.array_sort(F.transform("found.spans", lambda s: F.struct(s["first"].alias("a"), s["last"].alias("b"))))
+    x = scanned.withColumns({"n_words": F.col("found.n_words"), "n_hit": hit_words("found"), "n_items": F.size("found.items").cast("long")})
+    x = x.withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("found.items"), ","), 256))
+    return x.withColumn("contaminated", _contaminated("found", share_of))
+
+
+def hit_words(found: str) -> Column:
+    """How many words lie in any of the spans."""
+    spans = F.array_sort(F.transform(f"{found}.spans", lambda s: F.struct(s["first"].alias("a"), s["last"].alias("b"))))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n"))
-    x = scanned.withColumns({"n_words": F.col("found.n_words"), "n_hit": F.aggregate(spans, zero, step, lambda acc: acc["n"]), "n_items": F.size("found.items").cast("long")})
-    x = x.withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("found.items"), ","), 256))
-    return x.withColumn("contaminated", (F.col("n_hit") > 0) & (share_of * F.col("n_hit") >= F.col("n_words")))
+    return F.aggregate(spans, zero, step, lambda acc: acc["n"])
+
+
+def _contaminated(found: str, share_of: int = 20) -> Column:
+    n = hit_words(found)
+    return (n > 0) & (share_of * n >= F.col(f"{found}.n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs."""
-    return judged(scan(docs, benchmark, text, **kw)).where("not contaminated").select(*docs.columns)
+    return scan(docs, benchmark, text, into="_found", **kw).where(~_contaminated("_found")).select(*docs.columns)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
@@ -179,5 +187,5 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **k
                 out.append(x)
             yield pa.array(out, pa.string())
 
-    scanned = scan(docs, benchmark, text, **kw)
-    return scanned.withColumn(text, cut(F.col(text), F.col("found.spans"))).select(*docs.columns)
+    scanned = scan(docs, benchmark, text, into="_found", **kw)
+    return scanned.withColumn(text, cut(F.col(text), F.col("_found.spans"))).select(*docs.columns)

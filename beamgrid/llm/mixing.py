@@ -127,8 +127,9 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
 
 
 def taken_words(docs: DataFrame, weights: list[float], **kw) -> DataFrame:
-    """docs with source_size and target of their source and taken (words that the mix takes of them, repeats counted)."""
+    """docs with source_size and target of their source and taken (words that the mix takes of them, repeats counted); columns of these names are replaced."""
     source = kw.get("source", "source")
+    docs = docs.drop("taken", "target", "source_size", "begin")
     placed, pieces, sources = mix(docs, weights, **kw)
     taken = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"))
     few = F.broadcast(sources.select(F.col(source).alias("_source"), "source_size", "target"))

@@ -103,11 +103,11 @@ def _duplicate_lines(buf: np.ndarray, offsets: np.ndarray, w: t.Words, chars: np
     return np.bincount(row, later, rows).astype(np.int64), np.bincount(row, own, rows).astype(np.int64)
 
 
-def score(docs: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
-    """docs with a struct column `repetition` of measures and verdict beside each row.
+def score(docs: DataFrame, text: str = "text", limits: Limits | None = None, into: str = "repetition") -> DataFrame:
+    """docs with a struct column (`repetition`) of measures and verdict beside each row.
 
     A null or empty text has no words: all counts are zero and the base rule fails it. Repeated rows are judged each by itself,
-    extra columns stay, and a column named `repetition` is replaced. Texts are read whole, whatever their length.
+    extra columns stay, but for one named as `into` says, which is replaced. Texts are read whole, whatever their length.
     Window and line equality is decided by 64-bit hashes salted by row.
     """
     limits = limits or Limits()
@@ -124,9 +124,9 @@ def score(docs: DataFrame, text: str = "text", limits: Limits | None = None) ->
             arrays["repeat_chars"] = pa.ListArray.from_arrays(np.arange(0, lists.size + 1, lists.shape[1], dtype=np.int32), pa.array(lists.ravel()))
             yield pa.StructArray.from_arrays([arrays[k] for k in names], names)
 
-    return docs.withColumn("repetition", judge(F.col(text)))
+    return docs.withColumn(into, judge(F.col(text)))
 
 
 def keep(docs: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
     """The rows of docs whose text passes, with the columns of docs."""
-    return score(docs, text, limits).where("repetition.kept").select(*docs.columns)
+    return score(docs, text, limits, "_repetition").where("_repetition.kept").select(*docs.columns)

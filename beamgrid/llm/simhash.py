@@ -40,15 +40,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a long `fp` (the fingerprint's bits) beside each row; whole texts, null ones are empty."""
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
+    """docs with a long (`fp`) (the fingerprint's bits) beside each row; whole texts, null ones are empty."""
 
     @arrow_udf("long")
     def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(np.array([fingerprint(x.as_py()) for x in column], np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", mark(F.col(text)))
+    return docs.withColumn(into, mark(F.col(text)))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate component, the one with the smallest doc_id (of repeated ids, the longest text), with the columns of docs."""
-    marked = _stage.stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text), "marked")
-    few = classes(marked.select("_row", doc_id, "fp", F.octet_length(text).alias("_n")), doc_id)
+    marked = _stage.stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_fp"), "marked")
+    few = classes(marked.select("_row", doc_id, F.col("_fp").alias("fp"), F.octet_length(text).alias("_n")), doc_id)
     best = few.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, -F.coalesce("_n", F.lit(0)), "_row")).alias("best"))
     return marked.join(best.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
