@@ -10,16 +10,18 @@ from . import _stage
 #: What stands for a variable field.
 FIELD = "<*>"
 DEPTH, MIN_DOCS, MIN_TOKENS = 3, 10, 3
+#: Recurring leaves (8 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_LEAVES = 500_000
 
 
 def tokens_of(line: Column) -> Column:
-    """Words between ASCII white space; those with a digit are fields."""
+    """Words between ASCII white space; those with a digit are fields. Lines without digits, the most, skip the look at each word."""
     words = F.filter(F.split(line, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(words)
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, _text_hash, dropped: line numbers (from 0) of each document whose template recurs in min_docs documents or more.
+    """_id, _text_hash, _dropped: line numbers (from 0) of each document whose template recurs in min_docs documents or more.
 
     The tree has a fixed depth: token count, then the first `depth` tokens. Leaves seen in fewer than min_docs documents end
     there. In the others, a token is fixed if it stands at its place in min_docs (document, distinct line) pairs of the leaf; any other one,
@@ -31,8 +33,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     lines = lines.withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") >= min_tokens)
     lines = lines.select("_id", "_text_hash", "line_no", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
     seen = lines.groupBy("leaf", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf").count()
-    leaves = seen.where(F.col("count") >= min_docs).select("leaf")
-    few = _stage.stored(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "tokens", "_id", "_text_hash").agg(F.collect_list("line_no").alias("line_nos")), "lines")
+    leaves = _stage.stored(seen.where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    # Recurring leaves are few beside lines; only while their count is small do they go to every task.
+    small = leaves.count() <= BROADCAST_LEAVES
+    few = lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi").groupBy("leaf", "tokens", "_id", "_text_hash").agg(F.collect_list("line_no").alias("line_nos"))
+    few = _stage.stored(few, "lines")
 
     distinct = few.groupBy("leaf", "tokens").agg(F.count("*").alias("docs"))
     distinct = _stage.stored(distinct.withColumn("line", F.xxhash64("leaf", "tokens")), "distinct-lines")
@@ -49,11 +54,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     per_doc = found.groupBy("leaf", "template", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "template").count()
     recurring = per_doc.where(F.col("count") >= min_docs).select("leaf", "template")
     gone = found.join(recurring, ["leaf", "template"], "left_semi")
-    return gone.groupBy("_id", "_text_hash").agg(F.array_sort(F.flatten(F.collect_list("line_nos"))).alias("dropped"))
+    return gone.groupBy("_id", "_text_hash").agg(F.array_sort(F.flatten(F.collect_list("line_nos"))).alias("_dropped"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """docs with the recurring lines cut out of the text, and n_lines and n_dropped beside it.
+    """docs with the recurring lines cut out of the text, and n_lines and n_dropped beside it (columns of these names are replaced).
 
     Null texts stay null and have no lines; an empty text is one empty line. Other lines, blank ones too, stay in order.
     """
@@ -61,7 +66,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     x = docs.withColumn("_hash", F.xxhash64(F.col(text)))
     x = x.join(gone, x[doc_id].eqNullSafe(gone["_id"]) & (x["_hash"] == gone["_text_hash"]), "left").drop("_id", "_text_hash", "_hash")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("dropped"), i))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i))
     x = x.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    x = x.withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-    return x.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("dropped")
+    x = x.withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
+    return x.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_dropped")
