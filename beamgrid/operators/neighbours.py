@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from beamgrid.functions import colour as c
 from beamgrid.functions import geometry as g
 
+from .graph import components, kept
+
 E = ("ex", "ey", "ez")
 
 
@@ -50,9 +51,9 @@ def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self
     for r in range(rounds):
         x = nearest(left, others, k, d, self_join)
         if r < rounds - 1:
-            x = _kept(x)
+            x = kept(x)
             done = x.where(F.col("rank") == k).select("ray_id")
-            left = _kept(left.select("ray_id", *E).join(done, "ray_id", "left_anti"))
+            left = kept(left.select("ray_id", *E).join(done, "ray_id", "left_anti"))
             x = x.join(done, "ray_id", "left_semi")
         out = x if out is None else out.unionByName(x)
         d *= 2.0
@@ -235,35 +236,10 @@ def paint_differences(rays: DataFrame, distances: DataFrame, limit: float, rgb:
     return x.withColumns(blend).select(*rays.columns)
 
 
-def largest_cluster(rays: DataFrame, gap: float, k: int = 10, rounds: int = 40) -> DataFrame:
-    """With side: inside for the largest group of bounded ends that hang together over neighbours nearer than gap.
-
-    Labels spread along edges, each round to the smallest around, and jump to their label's label; lineage is cut each round in
-    the cluster's checkpoint folder where one is set.
-    """
+def largest_cluster(rays: DataFrame, gap: float, k: int = 10) -> DataFrame:
+    """With side: inside for the largest group of bounded ends that hang together over neighbours nearer than gap."""
     own = rays.where("alpha > 0")
-    e = nearest(own, own, k, gap).select(F.col("ray_id").alias("a"), F.col("other_id").alias("b"))
-    e = _kept(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label, before = _kept(own.select(F.col("ray_id").alias("a"), F.col("ray_id").alias("l"))), None
-    for _ in range(rounds):
-        near = e.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        label = label.join(near, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"))
-        up = label.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        label = _kept(label.join(up, "l").select("a", F.least("l", "ll").alias("l")))
-        now = label.agg(F.sum("l")).first()[0]
-        if now == before:
-            break
-        before = now
-    top = label.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(1).select("l").scalar()
-    inside = label.withColumn("_top", top).where("l = _top").select(F.col("a").alias("ray_id"), F.lit(True).alias("_in"))
+    label = kept(components(nearest(own, own, k, gap).select(F.col("ray_id").alias("a"), F.col("other_id").alias("b"))))
+    top = label.groupBy("root").count().orderBy(F.col("count").desc(), "root").limit(1).select("root").scalar()
+    inside = label.withColumn("_top", top).where("root = _top").select(F.col("node").alias("ray_id"), F.lit(True).alias("_in"))
     return rays.join(inside, "ray_id", "left").withColumn("side", F.when(F.col("_in"), "inside").otherwise("outside")).drop("_in")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: a table in the cluster's checkpoint folder if it names one (its size estimate starts anew, which matters in loops), else in memory and on disk."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/beamgrid-round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
