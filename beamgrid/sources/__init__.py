@@ -1,0 +1 @@
+"""Readers and writers of point-cloud, trajectory, tree and projection files."""
