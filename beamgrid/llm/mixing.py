@@ -11,8 +11,8 @@ from . import _stage
 GOLDEN = 11400714819323198485
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 2048
-#: Slots of the schedule, and documents of a source, that are ranked together.
-GROUP = 4096
+#: Slots of the schedule, and documents of a source (on average), that are ranked together.
+GROUP, PART = 4096, 1024
 
 
 def word_count(text: str = "text") -> Column:
@@ -89,10 +89,11 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     interchangeable), documents without words are never taken, and an empty table gives empty results.
     """
     spark = docs.sparkSession
-    n = docs.count()
     key = F.xxhash64(F.lit(seed), doc_id, size)
-    groups = max(1, n // GROUP)
-    x = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", key).withColumn("_part", F.pmod("_key", F.lit(groups)))
+    x = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", key)
+    # A row for each source: a hot one is cut into as many more parts, so all parts are of about PART documents.
+    counts = F.broadcast(docs.groupBy(F.col(source).alias("_source")).agg(F.ceil(F.count("*") / PART).alias("_parts")))
+    x = x.join(counts, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_part", F.pmod("_key", "_parts")).drop("_source", "_parts")
     x = _stage.frozen(x)
     parts = x.groupBy(source, "_part").agg(F.sum(size).alias("_words"))
     sources = _stage.frozen(targets(parts.groupBy(source).agg(F.sum("_words").alias("source_size")), weights, share, most, source))
