@@ -1,0 +1 @@
+"""Operators over unbounded clouds, by Structured Streaming."""
