@@ -12,7 +12,7 @@ GOLDEN = 11400714819323198485
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 2048
 #: Slots of the schedule, and documents of a source (on average), that are ranked together.
-GROUP, PART = 4096, 1024
+GROUP, PART = 1024, 1024
 
 
 def word_count(text: str = "text") -> Column:
