@@ -48,7 +48,8 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     template = marked.groupBy("leaf", "line").agg(parts.alias("parts"))
     half = 2 * F.size(F.filter("parts", lambda p: p["token"].isNotNull())) >= F.size("parts")
     named = F.array_join(F.transform("parts", lambda p: F.coalesce(p["token"], F.lit(FIELD))), " ")
-    template = template.where(half).select("leaf", "line", named.alias("template"))
+    # A table: joined right after its aggregation, a line that fills many documents could not be split between tasks.
+    template = _stage.stored(template.where(half).select("leaf", "line", named.alias("template")), "line-templates")
     of_line = few.withColumn("line", F.xxhash64("leaf", "tokens")).select("leaf", "line", "_id", "_text_hash", "line_nos")
     found = _stage.stored(of_line.join(template, ["leaf", "line"]), "templates")
     per_doc = found.groupBy("leaf", "template", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "template").count()
