@@ -53,7 +53,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     of_line = few.withColumn("line", F.xxhash64("leaf", "tokens")).select("leaf", "line", "_id", "_text_hash", "line_nos")
     found = _stage.stored(of_line.join(template, ["leaf", "line"]), "templates")
     per_doc = found.groupBy("leaf", "template", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "template").count()
-    recurring = per_doc.where(F.col("count") >= min_docs).select("leaf", "template")
+    recurring = _stage.stored(per_doc.where(F.col("count") >= min_docs).select("leaf", "template"), "recurring")  # for the same reason
     gone = found.join(recurring, ["leaf", "template"], "left_semi")
     return gone.groupBy("_id", "_text_hash").agg(F.array_sort(F.flatten(F.collect_list("line_nos"))).alias("_dropped"))
 
