@@ -51,7 +51,7 @@ def coarse_align(a: DataFrame, b: DataFrame, cell: float = 0.5, turns: int = 72)
             grid = np.zeros(dims)
             np.add.at(grid, tuple(np.rint(at - base).astype(int).T), np.sqrt(w))
             grids.append(np.fft.rfftn(grid))
-        corr = np.fft.irfftn(np.conj(grids[0]) * grids[1], dims)
+        corr = np.fft.irfftn(np.conj(grids[0]) * grids[1], dims, axes=(0, 1, 2))
         top = np.unravel_index(corr.argmax(), corr.shape)
         if corr[top] > best[0]:
             s = [v - d if v > d // 2 else v for v, d in zip(top, dims, strict=True)]

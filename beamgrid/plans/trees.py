@@ -105,7 +105,7 @@ _TPTS = f"""{_TRUNKS}, ta as (select trunk_id, ray_id, ex, ey, ez, radius, (ex -
 tc as (select *, sqrt(greatest(0.0::double, tx * tx + ty * ty + tz * tz - along * along)) "off" from tb), tp as (select * from tc where abs(along) <= 2.5 and "off" <= radius)"""
 register("jon11_trunk_points", lambda s, d: out(tr.trunk_points(adapter.rays(s, d), _trunks(s, d)), ("trunk_id", "ray_id"), ("along", "off")), duck(f'{_TPTS} select trunk_id, ray_id, round(along, 6) + 0.0::double along, round("off", 6) "off" from tp', "rays", "segments"))
 register("trk02_trunk_fit", lambda s, d: out(tr.trunk_fit(tr.trunk_points(adapter.rays(s, d), _trunks(s, d))), ("trunk_id", "n"), ("radius", "error")), duck(f'{_TPTS}, fr as (select trunk_id, avg("off") r, count(*) n from tp group by trunk_id) select trunk_id, n, round(r, 6) radius, round(sum(abs("off" - r)) / (n - 4), 6) error from tp join fr using (trunk_id) where n > 4 group by trunk_id, n, r', "rays", "segments"))
-register("trk02_trunk_lean", lambda s, d: out(tr.trunk_lean(tr.trunk_points(adapter.rays(s, d), _trunks(s, d)).where("trunk_id >= 0")).where("slope_x is not null"), ("trunk_id",), ("slope_x", "slope_y"), 5), duck(f"{_TPTS} select trunk_id, round(regr_slope(ex, ez), 5) + 0.0::double slope_x, round(regr_slope(ey, ez), 5) + 0.0::double slope_y from tp group by trunk_id having regr_slope(ex, ez) is not null", "rays", "segments"))
+register("trk02_trunk_lean", lambda s, d: out(tr.trunk_lean(tr.trunk_points(adapter.rays(s, d), _trunks(s, d)).where("trunk_id >= 0")).where("slope_x is not null"), ("trunk_id",), ("slope_x", "slope_y"), 5), duck(f"{_TPTS} select trunk_id, round(regr_slope(ex, ez), 5) + 0.0::double slope_x, round(regr_slope(ey, ez), 5) + 0.0::double slope_y from tp group by trunk_id having min(ez) < max(ez)", "rays", "segments"))
 register("jon13_lowest_trunks", lambda s, d: tr.lowest_trunks(_trunks(s, d)).select("trunk_id"), duck(f"{_TRUNKS} select trunk_id from tk a where not exists (select 1 from tk b where b.trunk_id <> a.trunk_id and a.base > b.base + ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / (2.0::double * b.height))", "rays", "segments"))
 register("jon14_permeable_trunks", lambda s, d: out(tr.permeable(adapter.rays(s, d), _trunks(s, d), 0.5), ("trunk_id", "n"), ("mean",)), duck(f"""{_TRUNKS},
 q as (select trunk_id, radius, x, y, sx, sy, ex - sx dx, ey - sy dy from rays, tk), u as (select *, greatest(0.0::double, least(1.0::double, ((x - sx) * dx + (y - sy) * dy) / nullif(dx * dx + dy * dy, 0))) u from q),
