@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,15 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_path(spark: SparkSession, name: str) -> str:
+    """A new path for one file that the driver writes and tasks read: in the shared folder if that is a plain path, else in a temporary one."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = f"{root if root.startswith('/') else _local()}/beamgrid-file-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder}/{name}"
+
+
 _folders: list[str] = []
 
 

@@ -67,6 +67,14 @@ def height_field(vertices: DataFrame, faces: DataFrame, width: float) -> DataFra
     return f.groupBy("px", "py").agg(F.min(z).alias("value"))
 
 
+def over_mesh(rays: DataFrame, vertices: DataFrame, faces: DataFrame, width: float, sign: float = -1.0) -> DataFrame:
+    """rays moved down (or, with sign 1, up) by the mesh's height at their end's pixel centre; rays off the mesh stay. An equi-join by pixel."""
+    field = height_field(vertices, faces, width)
+    x = rays.withColumns({"px": F.floor(F.col("ex") / width), "py": F.floor(F.col("ey") / width)}).join(field, ["px", "py"], "left")
+    by = F.lit(sign) * F.coalesce("value", F.lit(0.0))
+    return x.withColumns({"sz": F.col("sz") + by, "ez": F.col("ez") + by}).select(*rays.columns)
+
+
 def fill_gaps(field: DataFrame, rounds: int) -> DataFrame:
     """Empty cells beside set ones take their mean, again and again; each round sees only the one before."""
     from .graph import kept
