@@ -1,17 +1,19 @@
-"""SRC, SNK, JON10, MSH01: whole files written and read again, points over a mesh, and wraps."""
+"""SRC, SNK, PRJ01, JON10, MSH01: whole files written and read again, points over a mesh, and wraps."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beamgrid import adapter
+from beamgrid import adapter, registry
 from beamgrid.adapter import duck
 from beamgrid.functions import geometry as g
 from beamgrid.operators import surfaces, terrain, wrap
-from beamgrid.operators.graph import file_path
+from beamgrid.operators.graph import file_path, kept
 from beamgrid.registry import register
+from beamgrid.schema import loaded, mapped
 from beamgrid.sources import images, las, ply, text
 
+from . import voxels  # noqa: F401  (registers the query that the cache holds)
 from .common import out, sql_out
 from .trees import _FIELD, _MESH, _mesh
 
@@ -111,3 +113,18 @@ def _wrap(s, d, way: str):
 
 for _way in ("upwards", "downwards", "inwards", "outwards"):
     register(f"msh01_wrap_{_way}", lambda s, d, w=_way: _wrap(s, d, w))
+
+
+def _points(s, d):
+    path = file_path(s, "points.ply")
+    ply.write_rays(adapter.rays(s, d), path, points_only=True)
+    return ply.read_points(s, path)
+
+
+register("snk03_points_ply", lambda s, d: _points(s, d).select("ray_id", *_whole(*_ENDS), "red", "green", "blue", "alpha", _micros()),
+         duck(f"select row_number() over (order by ray_id) - 1 ray_id, {', '.join(_NEAR)}, red, green, blue, alpha, cast(round((time - 1.7e9::double) * 1e6::double) as bigint) micros from rays"))
+register("src03_load", lambda s, d: loaded(adapter.rays(s, d)).agg(F.count("*").alias("n"), F.sum("ray_id").cast("long").alias("ids")), duck("select count(*) n, cast(sum(ray_id) as bigint) ids from rays"))
+register("prj01_row_map", lambda s, d: out(mapped(adapter.rays(s, d), {"ez": F.col("sz"), "sz": F.col("ez"), "red": 255 - F.col("red"), "time": F.col("time") + 1}), ("ray_id", "red"), ("sz", "ez", "time")),
+         duck("select ray_id, cast(255 - red as smallint) red, round(ez, 6) + 0.0::double sz, round(sz, 6) + 0.0::double ez, round(time + 1, 6) + 0.0::double as time from rays"))
+# The cache of an occupancy grid is a table in the shared folder.
+register("src11_occupancy_cache", lambda s, d: kept(registry._QUERIES["vox08_occupancy"](s, d)), registry._SQL.get("vox08_occupancy"))

@@ -30,3 +30,20 @@ def assert_rays(df: DataFrame) -> DataFrame:
 def bounded() -> Column:
     """True for rays that hit something."""
     return F.col("alpha") > 0
+
+
+def loaded(rays: DataFrame, least: int = 4) -> DataFrame:
+    """rays, if it is a ray cloud of at least `least` rays; reads no more of it than that takes."""
+    n = assert_rays(rays).limit(least).count()
+    if n < least:
+        raise ValueError(f"a cloud of {n} rays; {least} are needed")
+    return rays
+
+
+def mapped(rays: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rays with new starts, ends, times or colours, each from the row's own old values; the schema stays."""
+    kinds = {f.name: f.dataType for f in RAYS}
+    unknown = set(columns) - set(kinds) | set(columns) & {"ray_id"}
+    if unknown:
+        raise ValueError(f"not a ray's to change: {', '.join(sorted(unknown))}")
+    return assert_rays(rays).withColumns({k: c.cast(kinds[k]) for k, c in columns.items()})

@@ -152,3 +152,18 @@ def test_generators_do_not_depend_on_partitions(spark):
     a, b = generate.room(spark, 3, 500), generate.room(spark, 3, 500).repartition(3)
     assert a.exceptAll(b).count() == 0 and a.exceptAll(generate.room(spark, 4, 500)).count() > 0
     assert generate.room(spark, 3, 500).where("alpha = 0").count() < 200
+
+
+def test_load_and_row_map_check_what_they_get(rays):
+    from pyspark.sql import functions as F
+
+    from beamgrid import schema
+
+    assert schema.loaded(rays).count() == rays.count()
+    with pytest.raises(ValueError):
+        schema.loaded(rays.limit(3))
+    with pytest.raises(ValueError):
+        schema.mapped(rays, {"ray_id": F.lit(1)})
+    with pytest.raises(ValueError):
+        schema.mapped(rays, {"intensity": F.lit(1)})
+    assert schema.mapped(rays, {"red": F.lit(7)}).schema["red"].dataType.typeName() == "short"
