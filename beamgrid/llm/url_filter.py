@@ -10,7 +10,7 @@ from . import _components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def after_scheme(url: Column) -> Column:
@@ -27,9 +27,9 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The resource that a url asks for: host, path and query, without scheme and fragment; null if it has no host."""
+    """The resource that a url asks for: host, path (/ if empty) and query, without scheme and fragment; null if it has no host."""
     rest = F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(F.startswith(rest, F.lit("/")), "").otherwise("/"), rest))
 
 
 def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -54,20 +54,42 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def unescaped(x: Column) -> Column:
+    """x with the entities that urls need as characters: XML's five, and reserved ones by number."""
+    for ch, name in (('"', "quot"), ("'", "apos"), ("<", "lt"), (">", "gt"), *((c, None) for c in "/?#:;=%+,@!$()*[]-._~"), ("&", "amp")):
+        x = F.regexp_replace(x, f"&(?:{f'{name}|' if name else ''}#0*{ord(ch)}|#[xX]0*(?i:{ord(ch):x}));", "\\$" if ch == "$" else ch)
+    return x
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its . and .. steps taken."""
+    steps = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    none = F.array().cast("array<string>")
+    taken = F.aggregate(steps, none, lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    end = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.concat(F.lit("/"), F.array_join(F.concat(taken, end), "/"))
+
+
 def resolved(base: Column, target: Column) -> Column:
-    """target as an absolute url, seen from base; null if it is empty or relative to a folder."""
-    target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
-    scheme = F.substring_index(base, "://", 1)
+    """target as an absolute url, seen from base; null if it is empty or of a scheme without ://."""
+    target = unescaped(F.trim(target))
+    root = F.concat(F.substring_index(base, "://", 1), F.lit("://"), host_of(base))
+    path, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?", 1))
     return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(base), target))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.substring_index(base, "://", 1), F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, _without_dots(path), rest))
+        .when(path == "", F.concat(root, path_of(base), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes that a page declares to be the same, by a canonical link or a refresh redirect."""
-    found = pages.select(F.col(url).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t"))
+    """(a, b): nodes that a page declares to be the same, by its canonical links and refresh redirects."""
+    every = F.concat(*[F.regexp_extract_all(html, F.lit(x), F.lit(1)) for x in (_CANONICAL, _REFRESH)])
+    found = pages.select(F.col(url).alias("u"), F.explode(every).alias("t"))
     return found.where("t <> ''").select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("u"), F.col("t"))).alias("b")).where("a <> b").distinct()
 
 
@@ -84,7 +106,7 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None, u
     u = F.col(url)
     x = pages.select(*[c for c in pages.columns if c not in names], host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("_node"))
     x = x.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
-    edges = alias_edges(pages, url, html) if edges is None else edges
+    edges = alias_edges(pages, url, html) if edges is None else edges.select(*[node_of(F.concat(F.lit("://"), e)).alias(e) for e in ("a", "b")])
     joined = _components.components(edges)
     as_url = F.concat(F.lit("://"), F.col("node"))
     ruled = joined.withColumn("_rule", matched_rule(host_of(as_url), path_of(as_url), rules))
