@@ -41,23 +41,28 @@ def nearest(points: DataFrame, others: DataFrame, k: int, distance: float, self_
     return pairs_within(points, others, distance, self_join).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self_join: bool = True, rounds: int = 6) -> DataFrame:
+def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self_join: bool = True) -> DataFrame:
     """The k nearest, however far: ever wider rounds for the points whose k-th neighbour isn't sure yet.
 
     Each round decides every point that has k neighbours within the round's distance, and only the rest go on with twice
-    that. After the last round what is left has fewer than k neighbours within 2 ** (rounds - 1) widths, and keeps those.
+    that, until none is left or the distance spans both clouds; then fewer than k neighbours are all there are.
     """
+    both = points.select(*E).unionByName(others.select(*E))
+    spans = both.agg(*[(F.max(e) - F.min(e)).alias(e) for e in E]).first()
+    far = sum(s * s for s in spans if s is not None) ** 0.5 * 1.000001
     out, left, d = None, points, width
-    for r in range(rounds):
+    while True:
         x = nearest(left, others, k, d, self_join)
-        if r < rounds - 1:
+        last = d > far
+        if not last:
             x = kept(x)
             done = x.where(F.col("rank") == k).select("ray_id")
             left = kept(left.select("ray_id", *E).join(done, "ray_id", "left_anti"))
             x = x.join(done, "ray_id", "left_semi")
         out = x if out is None else out.unionByName(x)
+        if last or left.isEmpty():
+            return out
         d *= 2.0
-    return out
 
 
 def covariance(points: DataFrame, neighbours: DataFrame, with_self: bool = True) -> DataFrame:
@@ -215,9 +220,9 @@ def denoise_by_sigma(rays: DataFrame, sigmas: float, k: int, distance: float) ->
     return rays.where("alpha = 0").unionByName(own.join(kept, "ray_id", "left_semi"))
 
 
-def cloud_distances(a: DataFrame, b: DataFrame, width: float = 1.0, rounds: int = 6) -> DataFrame:
+def cloud_distances(a: DataFrame, b: DataFrame, width: float = 1.0) -> DataFrame:
     """ray_id, distance from each bounded end of a to the nearest one of b."""
-    x = nearest_any(a.where("alpha > 0"), b.where("alpha > 0"), 1, width, self_join=False, rounds=rounds)
+    x = nearest_any(a.where("alpha > 0"), b.where("alpha > 0"), 1, width, self_join=False)
     return x.select("ray_id", F.sqrt("d2").alias("distance"))
 
 
