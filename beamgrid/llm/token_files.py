@@ -4,7 +4,7 @@ A file set is a folder with three Parquet tables (so that it can live in any sto
 
 codebook    one row: limit, lengths (bytes: the code length of each id, 0 if the id doesn't occur)
 blocks      file, block (from 0 in its file), first_token (ids before it in its file), n_tokens, doc_ids, doc_tokens (ids of each
-            document), checkpoints (little-endian uint32: the bit offset of each INTERVAL-th id), payload (codes, most significant
+            document), checkpoints (little-endian uint64: the bit offset of each INTERVAL-th id), payload (codes, most significant
             bit first, zero padded)
 Files hold documents in ascending doc_id, file after file. A block holds whole documents and is decoded without any other.
 """
@@ -97,12 +97,12 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     v = codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
     for k, part in ((0, v >> np.uint64(32)), (1, v & np.uint64(0xFFFFFFFF))):
         words += np.bincount(place + k, part.astype(np.float64), len(words)).astype(np.uint64)
-    return words.astype(">u4").tobytes()[: (total + 7) // 8], at[::INTERVAL].astype("<u4").tobytes()
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], at[::INTERVAL].astype("<u8").tobytes()
 
 
 def unpack(payload: bytes, checkpoints: bytes, n: int, table: np.ndarray, bits: int) -> np.ndarray:
     """The n ids of a block: all spans between checkpoints step forward together."""
-    at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+    at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
     p = np.frombuffer(payload + bytes(8 + INTERVAL * LIMIT // 8), np.uint8).astype(np.uint32)
     window = p[:-3] << np.uint32(24) | p[1:-2] << np.uint32(16) | p[2:-1] << np.uint32(8) | p[3:]
     out = np.empty((len(at), INTERVAL), np.uint32)
@@ -152,7 +152,7 @@ class _Pieces:
 
     The tokenizer lower-cases, drops white space and cuts texts to contractions, runs of letters, single digits and runs of other
     characters. Texts of characters whose class is plain are cut in numpy and their pieces told apart by two 64-bit hashes; any other
-    text, and one that names a special token, goes through the whole tokenizer. Tests hold both against whole-text encoding.
+    text, one that names a special token, and one with a piece whose first hash is another's, goes through the whole tokenizer. Tests hold both against whole-text encoding.
     """
 
     def __init__(self, path: str) -> None:
@@ -213,7 +213,7 @@ class _Pieces:
             begins[1:] &= (kind[1:] != kind[:-1]) | fresh[1:-1] | ((kind[1:] == _DIGIT) & ((buf[1:] & 0xC0) != 0x80))
         start = np.flatnonzero(begins)
         n = np.diff(np.append(np.cumsum(used)[start] - 1, used.sum()))  # pieces are runs of used bytes
-        start, n = _contractions(low, kind, start, n)
+        start, n = _contractions(low, kind, start, n, fresh)
         count = np.searchsorted(start, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64), odd
@@ -234,9 +234,11 @@ class _Pieces:
             if len(self.keys) < before + len(w):  # it forgot the others
                 self._relearn(key[known], check[which[known]], low, start[which[known]], n[which[known]])
         at = np.searchsorted(self.keys, key)[back]
-        if not (self.checks[at] == check).all():
-            raise ValueError("two pieces share a 64-bit hash")
         m = self.size[at]
+        clash = np.flatnonzero(self.checks[at] != check)  # another piece of the same hash is known: these rows go whole
+        if len(clash):
+            odd[np.searchsorted(count, clash, "right") - 1] = True
+            m = np.where(np.repeat(odd, np.diff(count)), 0, m)
         upto = np.concatenate([[0], np.cumsum(m)])
         ids = self.flat[np.repeat(self.first[at] - upto[:-1], m) + np.arange(upto[-1])]
         return ids, upto[count[1:]] - upto[count[:-1]], odd
@@ -259,11 +261,11 @@ class _Pieces:
             yield [len(x) // step for x in out], out
 
 
-def _contractions(low: np.ndarray, kind: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An apostrophe alone, right before letters that begin with s, t, m, d, re, ve or ll, takes those."""
+def _contractions(low: np.ndarray, kind: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An apostrophe alone, right before letters of its own row (which begin where fresh is set) that begin with s, t, m, d, re, ve or ll, takes those."""
     apostrophe = np.flatnonzero((low[start] == 0x27) & (n == 1))
     apostrophe = apostrophe[apostrophe + 1 < len(start)]
-    k = apostrophe[(start[apostrophe + 1] == start[apostrophe] + 1) & (kind[start[apostrophe + 1]] == _LETTER)]
+    k = apostrophe[(start[apostrophe + 1] == start[apostrophe] + 1) & (kind[start[apostrophe + 1]] == _LETTER) & ~fresh[start[apostrophe + 1]]]
     if not len(k):
         return start, n
     a = low[start[k + 1]]

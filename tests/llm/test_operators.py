@@ -126,6 +126,33 @@ def test_pieces_are_encoded_as_whole_texts(tokenizer):
     assert got == want
 
 
+def _piece_ids(path, texts, pieces=None):
+    import pyarrow as pa
+
+    return [np.frombuffer(x, "<u2").tolist() for _, ids in (pieces or token_files._Pieces(path)).rows(pa.array(texts, pa.string()), 2, "<u2") for x in ids]
+
+
+def test_batches_are_encoded_as_whole_texts(tokenizer):
+    """What stands next to a row must not change its ids: 60,000 random texts in batches, contractions over row bounds first."""
+    path, tok = tokenizer
+    assert _piece_ids(path, ["a'", "tea"]) == [[*tok.encode(x, add_special_tokens=False).ids, 2] for x in ("a'", "tea")]
+    rng = np.random.default_rng(8)
+    parts = ["'", "s", "t", "re", "ve", "ll", "m", "d", "a", "B", " ", "  ", "1", ".", "é", "–", "don", "\n", "'S", "x2"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(60_000)]
+    want = [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    pieces = token_files._Pieces(path)
+    got = [x for k in range(0, len(texts), 10_000) for x in _piece_ids(path, texts[k : k + 10_000], pieces)]
+    assert got == want
+
+
+def test_pieces_of_equal_hash_go_whole(tokenizer, monkeypatch):
+    path, tok = tokenizer
+    whole = token_files.t.span_hashes
+    monkeypatch.setattr(token_files.t, "span_hashes", lambda v, n, family=0: whole(v, n, family) if family else whole(v, n) % np.uint64(7))
+    texts = [f"some word{'abcdefgh'[k % 8]} here {'xyz'[k % 3]} it's" for k in range(50)] + ["", "the", None]
+    assert _piece_ids(path, texts) == [[*tok.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+
+
 @pytest.mark.parametrize("limit", [4, 6, 20])
 def test_huffman_codes(limit):
     rng = np.random.default_rng(limit)
@@ -291,7 +318,50 @@ def test_warc_derivatives(spark):
         other = by[r.page_id, "metadata" if r.warc_type == "conversion" else "conversion"]
         assert h["warc-concurrent-to"] == other.record_id
     assert "title: A & B" in by[1, "metadata"].content and "outlinks: 1" in by[1, "metadata"].content
-    assert warc.derivatives(spark.createDataFrame([(1, None)], "page_id long, response binary")).count() == 0
+    assert warc.derivatives(spark.createDataFrame([(1, None), (2, b"no record"), (3, b"")], "page_id long, response binary")).count() == 0
+
+
+def _response(body, http="Content-Type: text/html", extra=()):
+    block = f"HTTP/1.1 200 OK\r\n{http}\r\n\r\n".encode() + body
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a.org/"), ("Content-Type", "application/http"), *extra], block)
+
+
+def _parts(data):
+    metadata, conversion = warc.derive(data)
+    return {k: v for k, v in warc.parse(metadata["record"])[0]}, metadata["content"], conversion["content"]
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (b"<p title='a>b' class=\"c>d\">one</p>", "one"), (b"one<script>if (a < b) x('</p>')", "one"), (b"<!-- no <p>two</p>", ""), (b"<style>p{}</STYLE >x", "x"),
+        (b"a < b <3 & c &lt;p&gt;", "a < b <3 & c <p>"), (b"<p class=x'>it's</p>'", "it's\n'"), (b"one<br/>two<unfinished", "one\ntwo<unfinished"), (b"<svg><script>y</script></svg>z", "z"),
+        (b"", ""), (b"<a href=x>" * 20_000, ""), (b"w " * 200_000, ("w " * 200_000).strip()), (b"<a" * 100_000, None), (b'<a b="' * 50_000, None),
+    ],
+)
+def test_plain_text(body, text):
+    got = _parts(_response(body))[2]
+    assert text is None or got == text
+
+
+def test_warc_bodies_as_sent():
+    import gzip
+
+    page = "<title>T é</title><p>hi é there".encode()
+    chunked = b"".join(b"%x;n=1\r\n%s\r\n" % (len(page[k : k + 7]), page[k : k + 7]) for k in range(0, len(page), 7)) + b"0\r\n\r\n"
+    want = "T é\nhi é there"
+    for body, http in ((page, "X: y"), (chunked, "Transfer-Encoding: chunked"), (gzip.compress(page), "Content-Encoding: gzip"), (zlib.compress(page), "content-encoding: deflate"), (page, "Content-Encoding: gzip"), (page, "Transfer-Encoding: chunked"), (page.decode().encode("latin-1"), "Content-Type: text/html; charset='ISO-8859-1'"), (page, "Content-Type: text/html; charset=nonsense")):
+        head, about, text = _parts(_response(body, http, [("WARC-Payload-Digest", warc.sha1_digest(body))]))
+        assert text == want and "title: T é\r\n" in about
+        assert head["WARC-Source-Payload-Digest"] == "sha1:" + __import__("base64").b32encode(hashlib.sha1(body).digest()).decode()
+        assert head["WARC-Source-Type"] == "response" and head["WARC-Source-Content-Type"] == "application/http" and head["WARC-Source-Digest-Valid"] == "true"
+        assert head["WARC-Source-Block-Digest"].startswith("sha1:") and int(head["WARC-Source-Content-Length"])
+    cut = gzip.compress(page * 50)[:-9]
+    assert _parts(_response(cut, "Content-Encoding: gzip"))[2].startswith("T é\nhi é there")
+    head, _, _ = _parts(_response(page, extra=[("WARC-Payload-Digest", "sha1:OTHER")]))
+    assert head["WARC-Source-Digest-Valid"] == "false" and head["WARC-Source-Stated-Payload-Digest"] == "sha1:OTHER"
+    head, _, text = _parts(b"WARC/1.0\r\nX: y\r\n\r\nnot http")
+    assert text == "not http" and head["X"] == "y"
 
 
 # quality rules
