@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -22,6 +24,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Tables that drop() can remove, by the identity of their DataFrame (which is held, so that the identity stays its own).
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+class Own:
+    """A caller's table under column names that operators don't use (own0, own1, ...), so that none of its columns can clash with theirs."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.df = df.toDF(*[f"own{k}" for k in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        """The name that the caller's column has here; names differ in more than case, as in Spark."""
+        return f"own{[x.lower() for x in self.names].index(name.lower())}"
+
+    def back(self, *but: str) -> list[Column]:
+        """The caller's columns under their own names, without those named in but."""
+        gone = {x.lower() for x in but}
+        return [F.col(f"own{k}").alias(x) for k, x in enumerate(self.names) if x.lower() not in gone]
+
+
+#: Rows (of a few short columns) that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, which is kept already, marked for a broadcast if it has few rows; else left to a join by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a reliable checkpoint; meant for narrow rows."""
     checkpoint_root(df.sparkSession)
@@ -35,6 +67,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the table that stored() gave, once nothing will read it again."""
+    path = _tables.pop(id(df), (None, None))[1]
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one file scan under projections and filters, whose rows have a place in a file."""
+    try:
+        plan = df._jdf.queryExecution().analyzed()
+        while plan.children().size():
+            if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias") or not plan.deterministic():
+                return False
+            plan = plan.children().apply(0)
+        return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+    except AttributeError:  # another kind of session
+        return False
+
+
+def numbered(df: DataFrame, into: str, name: str = "numbered") -> DataFrame:
+    """df with a struct `into` that tells its rows apart and stays the same whenever it is computed again.
+
+    Rows of one Parquet scan have their file (a 64-bit hash of its path) and place in it, and df is read again where it is used again;
+    any other df is stored first.
+    """
+    if _is_scan(df):
+        try:
+            return df.withColumn(into, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        except AnalysisException:  # a format without row places
+            pass
+    return stored(df.withColumn(into, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -48,4 +114,6 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read back: columns prune, rows keep still."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = out, path
+    return out

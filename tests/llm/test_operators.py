@@ -235,7 +235,21 @@ def test_mix_of_nothing(empty, spark):
 # decontamination
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 200])
+def test_a_part_of_a_benchmark_is_bounded(spark):
+    """Windows as a worker holds them: about 45 bytes a word here, whatever the texts; long items are cut, and no window is lost."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{k}" for k in range(50_000)])
+    items = [(str(k), " ".join(words[rng.integers(0, len(words), n)])) for k, n in enumerate([3, 40, 5_000, 200_000])]
+    whole = decontaminate.Grams(items, 13)
+    assert sum(len(h) for h in whole.hashes.values()) == 1 + 28 + 4_988 + 199_988
+    limit = 1 << 20
+    parts = decontaminate._parts_of(spark.createDataFrame(items, "i string, x string"), 13, limit).collect()
+    own = {p: decontaminate.Grams([(r.i, r.x) for r in parts if r.part == p], 13) for p in {r.part for r in parts}}
+    assert len(own) > 5 and max(g.nbytes for g in own.values()) <= limit
+    assert set(np.concatenate([g.hashes[13] for g in own.values() if 13 in g.hashes]).tolist()) == set(whole.hashes[13].tolist())
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 3000])
 def test_decontamination(spark, docs, limit):
     items = spark.createDataFrame([(1, PASSAGE), (2, "Visit, NUMBER"), (3, None), (4, ""), (10, PASSAGE), (10, "nothing like this anywhere")], "item_id long, text string")
     word, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: re.sub("[A-Z]+", lambda m: m[0].lower(), x or "")
