@@ -35,7 +35,7 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
-    return mixing.taken_words(docs, [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(docs, [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,32 @@ def test_shards_split_a_hot_key(spark):
     assert all(v == 300 for v in n.values()) and len(n) == 10
 
 
+def test_shards_cut_beside_large_records(spark):
+    """Ranges with a record beyond a share are cut as well, however many small ones lie around it."""
+    rows = [(k, 10_000_000 if k in (500, 501, 2900) else 100, k) for k in range(3000)]
+    plan = shards.split_ranges(spark.createDataFrame(rows, "doc_id long, size long, _row long").cache(), "doc_id", "_row", "size", 400)
+    share = sum(r[1] for r in rows) / 400
+    assert sum(plan.n) == 3000 and all(w - 10_000_000 <= 2 * share for w in plan.weight)
+
+
+def test_op1_against_a_plain_version(spark, docs, tmp_path):
+    """The query on odd rows, long texts too: sizes, digests, and the shard that the middle of each record's bytes lies in."""
+    from beamgrid.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_sampled_splitters(spark, str(tmp_path)).collect()
+    size = lambda x: len((x or "").encode()) + 16
+    _same([(r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got], [(i, size(x), zlib.crc32((x or "").encode()), "bytes", None) for i, x, _ in _texts(docs)])
+    total, before, last = sum(r["size"] for r in got), 0, -1
+    slots: Counter = Counter()
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        assert r.shard == min(39, (2 * before + r["size"]) * 40 // (2 * total)) and r.slot == slots[r.shard]
+        assert (-1 if r.doc_id is None else r.doc_id) >= last
+        last = -1 if r.doc_id is None else r.doc_id
+        slots[r.shard] += 1
+        before += r["size"]
+
+
 def test_shards_of_nothing(empty):
     assert shards.shard_by_bytes(_compact(empty), 4).count() == 0
 
@@ -213,17 +239,51 @@ def test_mix_meets_its_targets(docs):
     _same([(r.doc_id, r["size"], r.taken) for r in out], [(r.doc_id, r["size"], r.taken) for r in again.collect()])
 
 
-def test_schedule_follows_targets_at_every_prefix(spark):
-    q = spark.createDataFrame([(1, 0.0, 0.5, 2000), (2, 0.5, 0.8, 1200), (3, 0.8, 1.0, 800)], "_nth int, low double, high double, quota long")
-    got = mixing.schedule(q, 4000).orderBy("slot").collect()
-    assert Counter(r._nth for r in got) == {1: 2000, 2: 1200, 3: 800}
-    for name, share in ((1, 0.5), (2, 0.3), (3, 0.2)):
-        seen = 0
-        for k, r in enumerate(got, 1):
-            if r._nth == name:
-                assert r["rank"] == seen
-                seen += 1
-            assert abs(seen - share * k) < 8
+def _golden(quotas):
+    """The schedule as its definition has it: draw by exact golden-ratio points until each quota is met, passing over sources that have."""
+    total, out, rank, k = sum(q for _, q in quotas), [], Counter(), 0
+    while len(out) < total:
+        point, low = (k * mixing.GOLDEN % (1 << 64) >> 16) / (1 << 48), 0
+        for name, q in quotas:
+            if low / total <= point < (low + q) / total or (low + q == total and low / total <= point):
+                if rank[name] < q:
+                    out.append((len(out), name, rank[name]))
+                    rank[name] += 1
+                break
+            low += q
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("quotas", [[(1, 2000), (2, 1200), (3, 800)], [(1, 1)], [(k, 1 + k % 4) for k in range(40)], [(1, 5000), (2, 1), (3, 1), (4, 30)]])
+def test_schedule_is_the_golden_one(spark, quotas):
+    q = spark.createDataFrame(quotas, "nth int, quota long")
+    got = sorted(tuple(r) for r in mixing.schedule(q).select("slot", "nth", "rank").collect())
+    assert got == _golden(quotas)
+    total = sum(n for _, n in quotas)
+    for name, n in quotas:  # shares hold at every prefix, but for the end, where sources are used up
+        seen = np.cumsum([x == name for _, x, _ in got])
+        early = slice(0, int(0.9 * total))
+        assert n < 100 or np.abs(seen - n / total * np.arange(1, total + 1))[early].max() < 8
+
+
+def test_documents_come_by_the_schedule(docs):
+    """Each source's words are taken block by block in the order of the golden schedule: first_slot and n_slots against a plain walk."""
+    d = docs.withColumn("size", mixing.word_count()).select("doc_id", "source", "size")
+    placed, pieces, sources = mixing.mix(d, [5, 2, 1], block_words=64)
+    quota = [(r.nth, int(-(-int(r.target + 1e-6) // 64)), int(r.target + 1e-6), r.source_size) for r in sorted(sources.collect(), key=lambda r: r.nth) if int(r.target + 1e-6)]
+    words = {n: [None] * size for n, _, _, size in quota}
+    for r in placed.collect():
+        words[r.nth][r.begin : r.begin + r["size"]] = [r.row] * r["size"] if r["size"] else []
+    want = Counter()
+    for slot, n, rank in _golden([x[:2] for x in quota]):
+        upto, size = next((w, s) for m, _, w, s in quota if m == n)
+        for at in range(rank * 64, min((rank + 1) * 64, upto)):
+            want[slot, words[n][at % size]] += 1
+    got = Counter()
+    for r in pieces.collect():
+        got[r.slot, r.row] += r.n_words
+    assert got == want
 
 
 def test_mix_of_nothing(empty, spark):
