@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -74,6 +75,12 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffles and checkpoints that nothing refers to, which it does when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _is_scan(df: DataFrame) -> bool:
     """Whether df is one file scan under projections and filters, whose rows have a place in a file."""
     try:

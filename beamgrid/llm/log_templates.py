@@ -63,11 +63,16 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null texts stay null and have no lines; an empty text is one empty line. Other lines, blank ones too, stay in order.
     """
-    gone = dropped_lines(docs, doc_id, text, **kw)
-    x = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    x = x.join(gone, x[doc_id].eqNullSafe(gone["_id"]) & (x["_hash"] == gone["_text_hash"]), "left").drop("_id", "_text_hash", "_hash")
+    own = _stage.Own(docs)
+    doc_id, text = own.of(doc_id), own.of(text)
+    gone = dropped_lines(own.df, doc_id, text, **kw)
+    x = own.df.withColumn("hash", F.xxhash64(F.col(text)))
+    x = x.join(gone, x[doc_id].eqNullSafe(gone["_id"]) & (x["hash"] == gone["_text_hash"]), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i))
-    x = x.withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    x = x.withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-    return x.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_dropped")
+    # The lines between one dropped number and the next, so that a text costs its lines and not their product.
+    gaps = F.transform(F.concat(F.array(F.lit(-1)), "_dropped"), lambda i, k: F.slice(lines, i + 2, F.coalesce(F.get(F.col("_dropped"), k), F.size(lines)) - i - 1))
+    kept = F.flatten(gaps)
+    x = x.withColumn("lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
+    x = x.withColumn("gone", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
+    x = x.withColumn(text, F.when(F.col("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
+    return x.select(*own.back("n_lines", "n_dropped"), F.col("lines").alias("n_lines"), F.col("gone").alias("n_dropped"))

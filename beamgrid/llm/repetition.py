@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from . import _stage
 from . import _text as t
 
 _SYMBOL = np.zeros(256, bool)
@@ -129,4 +130,5 @@ def score(docs: DataFrame, text: str = "text", limits: Limits | None = None, int
 
 def keep(docs: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
     """The rows of docs whose text passes, with the columns of docs."""
-    return score(docs, text, limits, "_repetition").where("_repetition.kept").select(*docs.columns)
+    own = _stage.Own(docs)
+    return score(own.df, own.of(text), limits).where("repetition.kept").select(*own.back())

@@ -20,6 +20,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints of one key that are compared by one task; larger groups are dealt out in pairs of parts.
 PART = 8192
 _SMALL = 48
+COUNTS = ("met", "in_window", "survived", "close")
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -34,10 +35,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     first = [0, *(end[: n - 1] + 1).tolist()]
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     h = np.array([digest(view[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 15):  # bounded, however long the text is
+    for k in range(0, len(h), 1 << 15):  # bounded, however many there are
         ones += np.unpackbits(h[k : k + (1 << 15), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
@@ -71,40 +77,48 @@ def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np
     return left
 
 
-def link(group: np.ndarray, f: np.ndarray, refs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions in f that link all fingerprints of a group as all its close pairs would; group must be in runs.
+def link(group: np.ndarray, f: np.ndarray, refs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of positions in f that link all fingerprints of a group as all its close pairs would; group must be in runs. And counts of
+    pairs: that met in a group, that the first pivot left, that all pivots left, that are close.
 
-    Small groups give their close pairs; large ones a spanning forest, found by walking from fingerprint to fingerprint over
-    those not reached yet, among which the first pivot's order leaves a window and the other pivots thin it out.
+    Fingerprints of a group are sorted by their distance to the first pivot; each probes the window of those up to radius further, and
+    the other pivots' coordinates discard pairs there. What survives is verified. Groups with wide windows are not paired in full but
+    give a spanning forest, found by walking from fingerprint to fingerprint over those not reached yet.
     """
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([edge, [len(group)]]))
+    if not len(group):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(4, np.int64)
+    run = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
     table = pivot_table(f, refs)
-    a, b = [], []
-    small = np.repeat(np.where(size <= _SMALL, size, 0), size)
-    place = np.arange(len(group)) - np.repeat(edge, size)
-    for step in range(1, int(small.max(initial=0))):
-        i = np.flatnonzero(place + step < small)
-        j = i + step
-        left = _survive(table, i, j, radius)
-        i, j = i[left], j[left]
-        near = np.bitwise_count(f[i] ^ f[j]) <= radius
+    at = run * 256 + table[0]  # distances are 64 at most, so windows end with their run
+    order = np.argsort(at, kind="stable")
+    at, f, table = at[order], f[order], table[:, order]
+    width = np.searchsorted(at, at + radius, "right") - np.arange(len(at)) - 1
+    size = np.bincount(run)
+    first = np.cumsum(size) - size
+    dense = np.add.reduceat(width, first) > _SMALL * size
+    sparse = np.where(np.repeat(dense, size), 0, width)
+    a, b, counts = [], [], np.array([int((size * (size - 1) // 2)[~dense].sum()), int(sparse.sum()), 0, 0], np.int64)
+    for step in range(1, int(sparse.max()) + 1):
+        i = np.flatnonzero(sparse >= step)
+        i = i[_survive(table[1:], i, i + step, radius)]
+        near = np.bitwise_count(f[i] ^ f[i + step]) <= radius
+        counts += [0, 0, len(i), int(near.sum())]
         a.append(i[near])
-        b.append(j[near])
-    for s, n in zip(edge[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        x, y = _forest(f[s : s + n], table[:, s : s + n], radius)
+        b.append(i[near] + step)
+    for s, n in zip(first[dense].tolist(), size[dense].tolist(), strict=True):
+        x, y, seen = _forest(f[s : s + n], table[:, s : s + n], radius)
+        counts += seen
         a.append(x + s)
         b.append(y + s)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return order[np.concatenate([none, *a])], order[np.concatenate([none, *b])], counts
 
 
-def _forest(f: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(table[0], kind="stable")
-    f, table = f[order], table[:, order]
+def _forest(f: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a spanning forest, and counts as link() has them; f is in order of the first pivot's distances."""
     alive, first = np.ones(len(f), bool), table[0]
     left, dead = np.arange(len(f)), 0
-    a, b = [], []
+    a, b, counts = [], [], np.zeros(4, np.int64)
     queue: list[int] = []
     seed = 0
     while True:
@@ -122,11 +136,14 @@ def _forest(f: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray,
             left, dead = left[alive[left]], 0
         w = left[np.searchsorted(first[left], first[i] - radius, "left") : np.searchsorted(first[left], first[i] + radius, "right")]
         w = w[alive[w]]
+        met, windowed = len(left) - dead, len(w)
         for row in table[1:]:
             if not len(w):
                 break
             w = w[np.abs(row[w] - row[i]) <= radius]
+        survived = len(w)
         w = w[np.bitwise_count(f[w] ^ f[i]) <= radius]
+        counts += [met, windowed, survived, len(w)]
         if len(w):
             alive[w] = False
             dead += len(w)
@@ -134,7 +151,7 @@ def _forest(f: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray,
             b.append(w)
             queue += w.tolist()
     none = np.zeros(0, np.int64)
-    return order[np.concatenate([none, *a])], order[np.concatenate([none, *b])]
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), counts
 
 
 def _masks() -> list[int]:
@@ -143,15 +160,8 @@ def _masks() -> list[int]:
     return [int(np.uint64(block[i] | block[j]).view(np.int64)) for i, j in combinations(range(len(BLOCKS)), 2)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """(a, b): links between the fingerprints of distinct (one row for each fp) that connect all which differ in radius bits or fewer.
-
-    A pivot table rules pairs out but doesn't find them, so fingerprints first meet by key: five blocks, of which any two
-    are equal in ten keys. No such pair is missed, and a key has 25 or 26 bits. Keys with more than `part` fingerprints are dealt
-    out: each pair of its parts is a group of its own, so a task holds 2 * part fingerprints at most.
-    """
-    if radius > 3:
-        raise ValueError("five blocks of which two are equal find three differing bits at most")
+def _dealt(distinct: DataFrame, part: int) -> DataFrame:
+    """fp, g: fingerprints beside those that they may be close to, in runs of g."""
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(_masks())]))
     rows = distinct.select("fp", keys.alias("k")).select("fp", "k.band", "k.key")
     large = _stage.frozen(rows.groupBy("band", "key").count().where(F.col("count") > part))
@@ -166,15 +176,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
         both = both.where("parts = 1 or own <> other")
         dealt = both.select("fp", "band", "key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("cell"))
     dealt = dealt.select("fp", F.xxhash64("band", "key", "cell").alias("g"), "band", "key", "cell")
-    dealt = dealt.repartition("g").sortWithinPartitions("g", "band", "key", "cell").select("fp", "g")
+    return dealt.repartition("g").sortWithinPartitions("g", "band", "key", "cell").select("fp", "g")
+
+
+def _compared(distinct: DataFrame, radius: int, part: int, counted: bool) -> DataFrame:
+    if radius > 3:
+        raise ValueError("five blocks of which two are equal find three differing bits at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
-        held_f, held_g = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held_f, held_g, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(4, np.int64)
 
-        def out(f: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-            i, j = link(g, f, refs, radius)
-            return pa.RecordBatch.from_arrays([pa.array(f[i].view(np.int64)), pa.array(f[j].view(np.int64))], ["a", "b"])
+        def out(f: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            i, j, counts = link(g, f, refs, radius)
+            total += counts
+            if not counted:
+                yield pa.RecordBatch.from_arrays([pa.array(f[i].view(np.int64)), pa.array(f[j].view(np.int64))], ["a", "b"])
 
         for batch in batches:
             f = np.concatenate([held_f, batch.column(0).to_numpy().view(np.uint64)])
@@ -182,11 +200,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFr
             cut = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0  # the last group may go on
             held_f, held_g = f[cut:], g[cut:]
             if cut:
-                yield out(f[:cut], g[:cut])
+                yield from out(f[:cut], g[:cut])
         if len(held_g):
-            yield out(held_f, held_g)
+            yield from out(held_f, held_g)
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], list(COUNTS))
+
+    return _dealt(distinct, part).mapInArrow(run, ", ".join(f"{c} long" for c in COUNTS) if counted else "a long, b long")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """(a, b): links between the fingerprints of distinct (one row for each fp) that connect all which differ in radius bits or fewer.
+
+    A pivot table rules pairs out but doesn't find them, so fingerprints first meet by key: five blocks, of which any two
+    are equal in ten keys. No such pair is missed, and a key has 25 or 26 bits. Keys with more than `part` fingerprints are dealt
+    out: each pair of its parts is a group of its own, so a task holds 2 * part fingerprints at most.
+    """
+    return _compared(distinct, radius, part, False).distinct()
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def report(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """One row: pairs that met by key, that the first pivot's window left, that all pivots left to verify, that are close."""
+    return _compared(distinct, radius, part, True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
 
 
 def classes(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -209,13 +244,15 @@ def hexed(fp: str = "fp"):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row. Null and empty texts have fingerprint zero and link like any other."""
-    marked = _stage.frozen(fingerprints(docs.select(doc_id, text), text).select(doc_id, "fp"))
-    return classes(marked, doc_id).select(doc_id, hexed().alias("fingerprint"), "component_id")
+    marked = _stage.frozen(fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("x")), "x").select("id", "fp"))
+    return classes(marked, "id").select(F.col("id").alias(doc_id), hexed().alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate component, the one with the smallest doc_id (of repeated ids, the longest text), with the columns of docs."""
-    marked = _stage.stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text, "_fp"), "marked")
-    few = classes(marked.select("_row", doc_id, F.col("_fp").alias("fp"), F.octet_length(text).alias("_n")), doc_id)
-    best = few.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, -F.coalesce("_n", F.lit(0)), "_row")).alias("best"))
-    return marked.join(best.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    own = _stage.Own(docs)
+    rows, doc_id, text = _stage.numbered(own.df, "row"), own.of(doc_id), own.of(text)
+    few = rows.select("row", F.col(doc_id).alias("id"), F.octet_length(text).alias("n"), F.col(text).alias("x"))
+    few = classes(_stage.stored(fingerprints(few, "x").drop("x"), "marked"), "id")
+    best = few.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", -F.coalesce("n", F.lit(0)), "row")).alias("best"))
+    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select(*own.back())

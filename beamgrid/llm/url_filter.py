@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _components
+from . import _components, _stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]
@@ -102,16 +102,16 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None, u
     without ://, has empty host and path, no rule, and is allowed; null html has no links. Repeated rows are judged alike, extra
     columns stay, and columns named like the results are replaced.
     """
-    names = ("host", "path", "rule", "verdict")
-    u = F.col(url)
-    x = pages.select(*[c for c in pages.columns if c not in names], host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("_node"))
-    x = x.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
-    edges = alias_edges(pages, url, html) if edges is None else edges.select(*[node_of(F.concat(F.lit("://"), e)).alias(e) for e in ("a", "b")])
+    own = _stage.Own(pages)
+    u, given = F.col(own.of(url)), edges
+    x = own.df.withColumns({"host": host_of(u), "path": path_of(u), "node": node_of(u)})
+    x = x.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
+    edges = alias_edges(own.df, own.of(url), own.of(html)) if given is None else given.select(*[node_of(F.concat(F.lit("://"), e)).alias(e) for e in ("a", "b")])
     joined = _components.components(edges)
     as_url = F.concat(F.lit("://"), F.col("node"))
-    ruled = joined.withColumn("_rule", matched_rule(host_of(as_url), path_of(as_url), rules))
-    bad = ruled.where("_rule.verdict = 'block'").select("root").distinct()
-    blocked = joined.join(bad, "root", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_alias"))
-    x = x.join(blocked, "_node", "left")
-    verdict = F.coalesce("_rule.verdict", F.when(F.col("_alias"), F.lit("block")), F.lit("allow"))
-    return x.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_node", "_rule", "_alias")
+    ruled = joined.withColumn("rule", matched_rule(host_of(as_url), path_of(as_url), rules))
+    bad = ruled.where("rule.verdict = 'block'").select("root").distinct()
+    blocked = joined.join(bad, "root", "left_semi").select("node", F.lit(True).alias("alias"))
+    x = x.join(blocked, "node", "left")
+    verdict = F.coalesce("rule.verdict", F.when(F.col("alias"), F.lit("block")), F.lit("allow"))
+    return x.select(*own.back("host", "path", "rule", "verdict"), "host", "path", F.col("rule.rule").alias("rule"), verdict.alias("verdict"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from . import _stage
+
 VERSION = "WARC/1.1"
 _SPACE = bytes.fromhex("6ba7b8119dad11d180b400c04fd430c8")  # the URL name space, a fixed value of RFC 9562
 #: Headers of a response that its derivatives carry on under "WARC-Source-", as their own have these names.
@@ -172,6 +174,7 @@ def derive(data: bytes) -> list[dict]:
     return out
 
 
+_DERIVED_NAMES = ("warc_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", "content", "record")
 _DERIVED = "array<struct<warc_type: string, record_id: string, refers_to: string, target_uri: string, source_digest: string, block_digest: string, content_length: long, content: string, record: binary>>"
 
 
@@ -206,6 +209,7 @@ def derivatives(records: DataFrame, response: str | Column = "response") -> Data
         for column in batches:
             yield pa.array([None if not x.is_valid else derive(x.as_py()) for x in column], kind)
 
-    rest = [c for c in records.columns if c != response]
-    made = records.withColumn("_made", build(F.col(response) if isinstance(response, str) else response)).select(*rest, F.explode("_made").alias("_made"))
-    return made.select(*[c for c in rest if c not in ("warc_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", "content", "record")], "_made.*")
+    own = _stage.Own(records if isinstance(response, str) else records.withColumn("response", response))
+    source = response if isinstance(response, str) else "response"
+    made = own.df.withColumn("made", F.explode(build(F.col(own.of(source)))))
+    return made.select(*own.back(source, *_DERIVED_NAMES), "made.*")

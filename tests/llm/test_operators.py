@@ -550,6 +550,59 @@ def test_links_of_dense_groups(spark, part):
     assert sorted(groups(close)[0].values()) == sorted(groups(unsigned)[0].values())
 
 
+def _clustered():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    base[:3000] &= np.uint64((1 << 64) - (1 << 26))  # many share two blocks and little else: groups where pivots have work to do
+    close = base[:400].copy()
+    for k in range(3):
+        close ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    return np.unique(np.concatenate([base, close]))
+
+
+def test_pivots_discard_pairs(spark):
+    """In a group of unlike fingerprints the first pivot's window and the others' coordinates leave few to verify, close pairs among them."""
+    f = _clustered()
+    df = spark.createDataFrame([(int(v),) for v in f.view(np.int64)], "fp long")
+    r = simhash.report(df).first()
+    assert r.met > 100_000 and r.in_window < 0.7 * r.met and r.survived < 0.01 * r.in_window and 400 <= r.close <= r.survived
+    assert simhash.report(df.limit(0)).first().met == 0
+
+
+def test_links_come_by_the_pivots(monkeypatch):
+    """With a table of distances that says every pair is far, nothing is linked."""
+    f = _clustered()
+    g = np.zeros(len(f), np.int64)
+    assert len(simhash.link(g, f, simhash.pivots())[0]) >= 400
+    monkeypatch.setattr(simhash, "pivot_table", lambda f, refs: np.stack([np.arange(len(f)) * 4 % 61] * len(refs)).astype(np.int8))
+    few = f[:15]
+    assert not len(simhash.link(np.zeros(15, np.int64), np.concatenate([few[:14], few[:1] ^ np.uint64(1)]), simhash.pivots())[0])
+
+
+CLASHES = "row file at own0 own1 own99 key id x n fp node root best doc part parts begin inside nth slot grp place had range upto first bytes_before rows_before hash _id _text_hash _dropped lines gone alias found _found0 cost i rule made _made"
+
+
+def test_clashing_columns_come_back_unchanged(spark, docs):
+    """Extra columns named like anything an operator uses inside keep their values."""
+    few = docs.where("doc_id < 120 or doc_id > 202").where("length(text) < 5000")
+    names = [c for c in CLASHES.split() if c not in docs.columns]
+    few = few.select("doc_id", "text", "source", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names])
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    sized = few.withColumns({"size": shards.record_size()}).cache()
+    numbered = sized.withColumn("number", F.monotonically_increasing_id()).cache()
+    made = {
+        "shards": shards.shard_by_bytes(numbered, 4, row="number"), "mix": mixing.taken_words(sized, [5, 2, 1], block_words=64), "clean": decontaminate.clean(few, items), "parts": decontaminate.clean(few, items, broadcast_bytes=100),
+        "cut": decontaminate.without_spans(few, items), "keep": repetition.keep(few), "lines": log_templates.drop_recurring(few), "simhash": simhash.keep_one(few),
+        "urls": url_filter.judge(few.withColumns({"url": F.lit("http://a.net/"), "html": F.lit("")}), RULES), "warc": warc.derivatives(warc.responses(few, "doc_id", "text", "text")),
+    }
+    for what, df in made.items():
+        kept = [c for c in names if not (what in ("shards", "mix") and c in ("slot",)) and not (what == "urls" and c == "rule")]
+        rows = df.select("doc_id", *kept).collect()
+        assert rows, what
+        for r in rows:
+            assert all(r[c] == (None if r.doc_id is None else f"{c} of {r.doc_id}") for c in kept), (what, r)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(200, 201), (201, 200), (300, 300)]
     df = spark.createDataFrame([*edges, (None, 5), (5, None)], "a long, b long")

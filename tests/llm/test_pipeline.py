@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,25 +58,34 @@ def test_quality_rules(tables):
 
 
 def test_near_duplicates(tables):
-    def fingerprint(x):
+    def shingles(x):
         w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), x or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if h and 2 * sum(v >> b & 1 for v in h) > len(h))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
     rows = sorted(_rows(tables[1]))
-    f = np.array([fingerprint(x) for _, x, _ in rows], np.uint64)
-    root = list(range(len(f)))
-    for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= 3):
-            a, b = i, int(j)
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
+    sets, root = [shingles(x) for _, x, _ in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = i, j
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
     assert Counter(_rows(tables[2])) == Counter(r for k, r in enumerate(rows) if root[k] == k)
 
 
+def test_clashing_columns(tables, spark):
+    """Extra columns named as stages name theirs keep their values."""
+    names = ["row", "nth", "copies", "number", "own0", "_id", "_row", "_words", "m", "node", "best", "rank", "x", "repetition", "found", "taken"]
+    docs = tables[0].limit(60).select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names]).cache()
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert out.where(" or ".join(f"{c} <> concat('{c} ', doc_id)" for c in names)).count() == 0 and out.count() > 0
+
+
 def test_decontamination(tables, spark):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda x: word.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), x or ""))
