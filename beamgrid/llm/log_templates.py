@@ -10,36 +10,52 @@ from . import _stage
 #: What stands for a variable field.
 FIELD = "<*>"
 DEPTH, MIN_DOCS, MIN_TOKENS = 3, 10, 3
+#: A line of more tokens than this is a passage: it recurs as soon as it stands, fields aside, in two different texts.
+PASSAGE = 50
 #: Recurring leaves (8 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 500_000
 
 
 def tokens_of(line: Column) -> Column:
-    """Words between ASCII white space; those with a digit are fields. Lines without digits, the most, skip the look at each word."""
+    """Words between ASCII white space; those with a digit are fields, unless over half of the line's words are: it then stands as it is.
+
+    Lines without digits, the most, skip the look at each word.
+    """
     words = F.filter(F.split(line, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(words)
+    masked = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+    mostly = 2 * F.size(F.filter(words, lambda w: w.rlike("[0-9]"))) > F.size(words)
+    return F.when(line.rlike("[0-9]") & ~mostly, masked).otherwise(words)
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """_id, _text_hash, _dropped: line numbers (from 0) of each document whose template recurs in min_docs documents or more.
+def dropped_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, passage: int = PASSAGE
+) -> DataFrame:
+    """_id, _text_hash, _dropped: line numbers (from 0) of each document whose template recurs in min_docs different texts or more.
 
-    The tree has a fixed depth: token count, then the first `depth` tokens. Leaves seen in fewer than min_docs documents end
-    there. In the others, a token is fixed if it stands at its place in min_docs (document, distinct line) pairs of the leaf; any other one,
-    and any with a digit, is a field. Lines with at least half of their tokens fixed, and with a template in min_docs documents,
-    recur. Lines of fewer than min_tokens tokens never do. A document is a doc_id and a text: repeated rows count once.
+    The tree has a fixed depth: token count, then the first `depth` tokens. Leaves seen in fewer than min_docs texts end
+    there. In the others, a token is fixed if it stands at its place in min_docs (text, distinct line) pairs of the leaf; any other one,
+    and any field, is variable. Lines with at least half of their tokens fixed, and with a template in min_docs texts,
+    recur. So do lines of over `passage` tokens that two texts have with all tokens but fields alike. Lines of fewer than min_tokens
+    tokens never do. Copies of a text, and repeated rows, count once, but lose the lines that recur in other texts.
     """
     key = [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash")]
     lines = docs.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") >= min_tokens)
-    lines = lines.select("_id", "_text_hash", "line_no", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
-    seen = lines.groupBy("leaf", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf").count()
-    leaves = _stage.stored(seen.where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    # A passage has two leaves: that of its leading tokens, and one of its own for all its tokens.
+    leaf = F.struct(F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.lit(False).alias("whole"))
+    own = F.struct(F.xxhash64("tokens").alias("leaf"), F.lit(True).alias("whole"))
+    at = F.explode(F.when(F.size("tokens") > passage, F.array(leaf, own)).otherwise(F.array(leaf)))
+    lines = lines.select("_id", "_text_hash", "line_no", "tokens", at.alias("at"))
+    lines = lines.select("_id", "_text_hash", "line_no", "tokens", "at.*")
+    seen = lines.groupBy("leaf", "whole", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "whole").count()
+    leaves = _stage.stored(seen.where(F.col("count") >= F.when(F.col("whole"), 2).otherwise(min_docs)).select("leaf", "whole"), "leaves")
     # Recurring leaves are few beside lines; only while their count is small do they go to every task.
     small = leaves.count() <= BROADCAST_LEAVES
-    few = lines.join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi").groupBy("leaf", "tokens", "_id", "_text_hash").agg(F.collect_list("line_no").alias("line_nos"))
-    few = _stage.stored(few, "lines")
+    few = lines.join(F.broadcast(leaves) if small else leaves, ["leaf", "whole"], "left_semi").withColumn("tokens", F.when(~F.col("whole"), F.col("tokens")))
+    few = _stage.stored(few.groupBy("leaf", "tokens", "_id", "_text_hash").agg(F.collect_list("line_no").alias("line_nos")), "lines")
+    passages, few = few.where("tokens is null").select("_id", "_text_hash", "line_nos"), few.where("tokens is not null")
 
-    distinct = few.groupBy("leaf", "tokens").agg(F.count("*").alias("docs"))
+    distinct = few.groupBy("leaf", "tokens").agg(F.count_distinct("_text_hash").alias("docs"))
     distinct = _stage.stored(distinct.withColumn("line", F.xxhash64("leaf", "tokens")), "distinct-lines")
     placed = distinct.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
     fixed = placed.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
@@ -52,10 +68,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     template = _stage.stored(template.where(half).select("leaf", "line", named.alias("template")), "line-templates")
     of_line = few.withColumn("line", F.xxhash64("leaf", "tokens")).select("leaf", "line", "_id", "_text_hash", "line_nos")
     found = _stage.stored(of_line.join(template, ["leaf", "line"]), "templates")
-    per_doc = found.groupBy("leaf", "template", "_id", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "template").count()
-    recurring = _stage.stored(per_doc.where(F.col("count") >= min_docs).select("leaf", "template"), "recurring")  # for the same reason
-    gone = found.join(recurring, ["leaf", "template"], "left_semi")
-    return gone.groupBy("_id", "_text_hash").agg(F.array_sort(F.flatten(F.collect_list("line_nos"))).alias("_dropped"))
+    per_text = found.groupBy("leaf", "template", "_text_hash").agg(F.lit(1).alias("one")).groupBy("leaf", "template").count()
+    recurring = _stage.stored(per_text.where(F.col("count") >= min_docs).select("leaf", "template"), "recurring")  # for the same reason
+    gone = found.join(recurring, ["leaf", "template"], "left_semi").select("_id", "_text_hash", "line_nos").unionByName(passages)
+    return gone.groupBy("_id", "_text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("line_nos")))).alias("_dropped"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

@@ -65,21 +65,24 @@ from j
 """
 
 _OP8 = r"""
-with k as (select distinct doc_id, text from documents where text is not null),
-d as (select row_number() over () r, * from k),
-lines as (select r, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) nth from d),
-tok as (select r, nth, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) t from lines),
-ln as (select r, nth, t, array_to_string(t, ' ') line, len(t) n, array_to_string(t[1:3], ' ') lead from tok where len(t) >= 3),
-leaves as (select n, lead from ln group by n, lead having count(distinct r) >= 10),
+with x as (select row_number() over () x, text from (select distinct text from documents where text is not null)),
+d as (select row_number() over () r, doc_id, text, x from (select distinct doc_id, text from documents) join x using (text)),
+lines as (select r, x, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) nth from d),
+words as (select r, x, nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') w from lines),
+tok as (select r, x, nth, case when 2 * len(list_filter(w, lambda v: regexp_matches(v, '[0-9]'))) > len(w) then w
+                               else list_transform(w, lambda v: case when regexp_matches(v, '[0-9]') then '<*>' else v end) end t from words),
+ln as (select r, x, nth, t, array_to_string(t, ' ') line, len(t) n, array_to_string(t[1:3], ' ') lead from tok where len(t) >= 3),
+passages as (select n, line from ln where n > 50 group by n, line having count(distinct x) >= 2),
+leaves as (select n, lead from ln group by n, lead having count(distinct x) >= 10),
 few as (select ln.* from ln join leaves using (n, lead)),
-uniq as (select n, lead, line, any_value(t) t, count(distinct r) docs from few group by n, lead, line),
+uniq as (select n, lead, line, any_value(t) t, count(distinct x) docs from few group by n, lead, line),
 placed as (select n, lead, line, docs, unnest(t) token, generate_subscripts(t, 1) place from uniq),
 fixed as (select n, lead, place, token from placed where token <> '<*>' group by n, lead, place, token having sum(docs) >= 10),
 marked as (select p.n, p.lead, p.line, p.place, f.token from placed p left join fixed f using (n, lead, place, token)),
 tpl as (select n, lead, line, string_agg(coalesce(token, '<*>'), ' ' order by place) template from marked group by n, lead, line having 2 * count(token) >= any_value(n)),
-found as (select few.r, few.nth, few.n, few.lead, template from few join tpl using (n, lead, line)),
-often as (select n, lead, template from found group by n, lead, template having count(distinct r) >= 10),
-gone as (select distinct r, nth from found join often using (n, lead, template)),
+found as (select few.r, few.x, few.nth, few.n, few.lead, template from few join tpl using (n, lead, line)),
+often as (select n, lead, template from found group by n, lead, template having count(distinct x) >= 10),
+gone as (select r, nth from found join often using (n, lead, template) union select r, nth from ln join passages using (n, line)),
 kept as (select lines.r, string_agg(line, chr(10) order by lines.nth) x, count(*) n from lines left join gone using (r, nth) where gone.r is null group by lines.r),
 res as (select d.doc_id, d.text, len(string_split(d.text, chr(10))) n_lines, coalesce(kept.n, 0) n_kept, coalesce(kept.x, '') x from d left join kept using (r))
 select documents.doc_id, cast(coalesce(n_lines, 0) as bigint) n_lines, cast(coalesce(n_lines - n_kept, 0) as bigint) n_dropped, cast(length(x) as bigint) kept_chars, sha256(x) kept_sha256

@@ -478,10 +478,17 @@ def test_log_templates(docs, empty, spark):
         r = out[300 + i]
         assert (r.n_lines, r.n_dropped) == (4, 2) and r.text.startswith("own line") and r.text.count("\n") == 1
     assert out[200].text is None and out[200].n_lines == 0 and out[201].text == "" and out[201].n_lines == 1
-    assert out[1].n_dropped == 0 and out[100].n_dropped == 1  # a line of sixty copies
+    assert out[1].n_dropped == 0 and out[100].n_dropped == 0  # a line of sixty copies of one text
     assert log_templates.drop_recurring(docs).count() == docs.count() and log_templates.drop_recurring(empty).count() == 0
     same = spark.createDataFrame([(1, "\n".join(f"visit number {k} here now" for k in range(50)))], "doc_id long, text string")
     assert log_templates.drop_recurring(same).first().n_dropped == 0  # within one document only
+    passage = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50)]
+    rows = [(k, f"head {'abc'[k]}\n{' '.join(passage)} {x}\nthe end of {'xyz'[k]}") for k, x in enumerate(("7", "12", "last"))]
+    rows += [(10 + k, f"{' '.join(passage)}\nonly {'ab'[k]}") for k in range(2)]  # fifty tokens are no passage
+    rows += [(20 + k, f"10 20 30\nonly {chr(97 + k)}") for k in range(10)] + [(40 + k, f"{k} {k + 1} {k + 2}\nno {chr(97 + k)}") for k in range(10)]
+    out = {r.doc_id: r for r in log_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].n_dropped for k in (0, 1, 2, 10, 11)] == [1, 1, 0, 0, 0] and out[1].text == "head b\nthe end of y"
+    assert all(out[20 + k].n_dropped == 1 and out[40 + k].n_dropped == 0 for k in range(10))  # lines of numbers go by their numbers
 
 
 # SimHash
