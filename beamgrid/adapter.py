@@ -37,11 +37,6 @@ def rays_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rays(spark, sf_dir).where("ray_id % 3 <> 0").withColumns({c: F.col(c) + shift for c in ("ex", "ey", "ez")})
 
 
-def rays_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of the rays: a cloud small enough for a brute-force neighbour oracle."""
-    return rays(spark, sf_dir).where("ray_id % 5 = 0")
-
-
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor positions, one of twenty rays."""
     return rays(spark, sf_dir).where("ray_id % 20 = 0").select("time", F.col("sx").alias("x"), F.col("sy").alias("y"), (F.col("sz") + F.col("ray_id") / F.lit(1000.0)).alias("z"))
@@ -51,7 +46,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees: a chain of segments for each user, upwards in order of events."""
     from pyspark.sql import Window
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 4 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     d = lambda x: F.lit(float(x))
     return e.select(
@@ -73,13 +68,12 @@ CTES = {
   cast(case when event_type = 'error' then 0 else 1 + event_id % 255 end as smallint) alpha from events)""",
     "rays_b": """rays_b as (select ray_id, sx, sy, sz, ex + ((ray_id % 7) - 3) / 100::double ex, ey + ((ray_id % 7) - 3) / 100::double ey,
   ez + ((ray_id % 7) - 3) / 100::double ez, time, red, green, blue, alpha from rays where ray_id % 3 <> 0)""",
-    "rays_knn": "rays_knn as (select * from rays where ray_id % 5 = 0)",
     "trajectory": "trajectory as (select time, sx x, sy y, sz + ray_id / 1000::double z from rays where ray_id % 20 = 0)",
     "segments": """segments as (select user_id tree_id, cast(n as int) seg_id, (user_id * 53 % 701) / 35::double + n / 10::double x,
   (user_id * 31 % 601) / 30::double y, n / 4::double z, 0.05::double + (event_id % 10) / 50::double radius, cast(n - 1 as int) parent_id
-  from (select *, row_number() over (partition by user_id order by event_id) - 1 n from events where event_id % 4 = 0))""",
+  from (select *, row_number() over (partition by user_id order by event_id) - 1 n from events))""",
 }
-NEEDS = {"rays_b": ["rays"], "rays_knn": ["rays"], "trajectory": ["rays"]}
+NEEDS = {"rays_b": ["rays"], "trajectory": ["rays"]}
 
 
 def duck(body: str, *tables: str, recursive: bool = False) -> str:

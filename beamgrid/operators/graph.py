@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 def kept(df: DataFrame) -> DataFrame:
     """df, written once in the folder that spark.checkpoint.dir names and read back: later steps start from a short plan with true sizes.
 
-    Without that setting a single machine uses a temporary folder; a cluster, where no such folder is shared, holds df in memory and on disk.
+    Without that setting a single machine uses a temporary folder; on a cluster, where no such folder is shared, it is an error.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local["):
-            return df.persist()
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local()
     path = f"{root.rstrip('/')}/beamgrid-step-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,25 +36,56 @@ def pairs_within(points: DataFrame, others: DataFrame, distance: float, self_joi
     return (x.where("ray_id <> other_id") if self_join else x).drop("vx", "vy", "vz")
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, distance: float, self_join: bool = True) -> DataFrame:
-    """The k nearest of pairs_within(), with rank from 1; ties go to the smaller id."""
+def _ranked(points: DataFrame, others: DataFrame, k: int, distance: float, self_join: bool) -> DataFrame:
     w = Window.partitionBy("ray_id").orderBy("d2", "other_id")
     return pairs_within(points, others, distance, self_join).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _span(points: DataFrame, others: DataFrame) -> float:
+    """A length that no two points of both clouds are apart."""
+    sides = points.select(*E).unionByName(others.select(*E)).agg(*[(F.max(e) - F.min(e)).alias(e) for e in E]).first()
+    return sum(s * s for s in sides if s is not None) ** 0.5 * 1.000001
+
+
+#: Pairs of points in adjoining cells up to which one round is cheaper than several.
+ONE_ROUND = 2e7
+
+
+def _first_reach(points: DataFrame, others: DataFrame, k: int, width: float) -> float:
+    """width, halved until a ball of that radius holds about 2 k points where the cloud is as dense as its points see it on average."""
+    cells = [_cells(x.select(*E), width).groupBy("vx", "vy", "vz").agg(F.count("*").cast("double").alias(n)) for x, n in ((points, "p"), (others, "n"))]
+    both = cells[0].join(cells[1], ["vx", "vy", "vz"]).agg(F.sum(F.col("p") * F.col("n")).alias("pairs"), F.sum("p").alias("p")).first()
+    if 27.0 * (both.pairs or 0.0) <= ONE_ROUND:
+        return width
+    return width / 2.0 ** math.floor(math.log2(max(1.0, 2.0 * both.pairs / both.p / k)) / 3.0)
+
+
+def nearest(points: DataFrame, others: DataFrame, k: int, distance: float | None = None, self_join: bool = True) -> DataFrame:
+    """The k nearest at most distance apart (None: however far), with rank from 1; ties go to the smaller id.
+
+    In a dense cloud most points have k neighbours far nearer than distance. So rounds begin at a reach that fits the density, and
+    only points without k neighbours go on with three times that; results are those of one round at the whole distance.
+    """
+    far = _span(points, others) if distance is None else distance
+    reach = _first_reach(points, others, k, distance or max(far / 32, 1e-6))
+    return _rounds(points, others, k, reach, far, self_join) if reach < far else _ranked(points, others, k, max(far, 1e-6), self_join)
+
+
 def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self_join: bool = True) -> DataFrame:
-    """The k nearest, however far: ever wider rounds for the points whose k-th neighbour isn't sure yet.
+    """nearest() however far, with a first reach of width."""
+    return _rounds(points, others, k, width, _span(points, others), self_join)
+
 
-    Each round decides every point that has k neighbours within the round's distance, and only the rest go on with twice
-    that, until none is left or the distance spans both clouds; then fewer than k neighbours are all there are.
+def _rounds(points: DataFrame, others: DataFrame, k: int, reach: float, far: float, self_join: bool) -> DataFrame:
+    """The k nearest at most far apart.
+
+    Each round decides every point that has k neighbours within the round's reach, and only the rest go on with three times that,
+    until none is left or the reach is far; then fewer than k neighbours are all there are.
     """
-    both = points.select(*E).unionByName(others.select(*E))
-    spans = both.agg(*[(F.max(e) - F.min(e)).alias(e) for e in E]).first()
-    far = sum(s * s for s in spans if s is not None) ** 0.5 * 1.000001
-    out, left, d = None, points, width
+    out, left, d = None, points, reach
     while True:
-        x = nearest(left, others, k, d, self_join)
-        last = d > far
+        last = d >= far
+        x = _ranked(left, others, k, far if last and far > 0 else d, self_join)
         if not last:
             x = kept(x)
             done = x.where(F.col("rank") == k).select("ray_id")
@@ -62,7 +94,7 @@ def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self
         out = x if out is None else out.unionByName(x)
         if last or left.isEmpty():
             return out
-        d *= 2.0
+        d *= 3.0
 
 
 def covariance(points: DataFrame, neighbours: DataFrame, with_self: bool = True) -> DataFrame:
@@ -94,7 +126,7 @@ def eigenvalues(cov: DataFrame) -> DataFrame:
     return x.withColumn("l1", F.lit(3.0) * q - F.col("l2") - F.col("l0")).drop("_q", "_p", "_phi")
 
 
-def surfels(rays: DataFrame, k: int, distance: float) -> DataFrame:
+def surfels(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:
     """ray_id, n, mean, covariance, dims (root of each eigenvalue, 1e-10 at least) and the normal, which faces the sensor.
 
     Eigenvectors come from numpy, a batch at a time.
@@ -176,22 +208,28 @@ def intersect(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: f
     return x.select("shape_id", "shape_time", "ray_id", "time", F.when(passes, "pass").otherwise("hit").alias("outcome"))
 
 
-def colour_by_shape(rays: DataFrame, k: int, distance: float) -> DataFrame:
-    """Red: sphericity, green: cylindricality, blue: planarity."""
+def colour_by_shape(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:
+    """Red: sphericity, green: cylindricality, blue: planarity. Unbounded rays, and ends without neighbours, keep their colour."""
     own = rays.where("alpha > 0")
     e = eigenvalues(covariance(own, nearest(own, own, k, distance)))
     d = [F.sqrt(F.greatest(F.lit(1e-10), F.col(x))) for x in ("l0", "l1", "l2")]
     rgb = {"red": d[0] / d[2], "green": F.lit(1.0) - d[1] / d[2], "blue": F.lit(1.0) - d[0] / d[2]}
-    return rays.drop(*rgb).join(e.select("ray_id", *[c.byte(v).alias(n) for n, v in rgb.items()]), "ray_id")
+    return _coloured(rays, e.select("ray_id", *[c.byte(v).alias(f"_{n}") for n, v in rgb.items()]))
 
 
-def colour_by_normal(rays: DataFrame, k: int, distance: float) -> DataFrame:
+def colour_by_normal(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:
+    """The normal as a colour. Unbounded rays, and ends without neighbours, keep theirs."""
     s = surfels(rays, k, distance)
-    rgb = {n: c.byte(F.lit(0.5) + F.lit(0.5) * F.col(x)).alias(n) for n, x in (("red", "nx"), ("green", "ny"), ("blue", "nz"))}
-    return rays.drop(*rgb).join(s.select("ray_id", *rgb.values()), "ray_id")
+    rgb = {n: c.byte(F.lit(0.5) + F.lit(0.5) * F.col(x)).alias(f"_{n}") for n, x in (("red", "nx"), ("green", "ny"), ("blue", "nz"))}
+    return _coloured(rays, s.select("ray_id", *rgb.values()))
+
+
+def _coloured(rays: DataFrame, colours: DataFrame) -> DataFrame:
+    x = rays.join(colours, "ray_id", "left")
+    return x.withColumns({n: F.coalesce(f"_{n}", n) for n in ("red", "green", "blue")}).select(*rays.columns)
 
 
-def smooth(rays: DataFrame, k: int, distance: float, own_weight: float = 0.2) -> DataFrame:
+def smooth(rays: DataFrame, k: int, distance: float | None = None, own_weight: float = 0.2) -> DataFrame:
     """Bounded ends moved along their normals to the weighted mean of their neighbours; others stay."""
     s = surfels(rays, k, distance).select("ray_id", "nx", "ny", "nz")
     own = rays.where("alpha > 0")

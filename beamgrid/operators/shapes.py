@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from beamgrid.functions import geometry as g
 
-from .neighbours import nearest, surfels
+from .graph import components, kept
+from .neighbours import E, nearest, surfels
 from .terrain import _corners
 
 
-def colour_branches(rays: DataFrame, distance: float) -> DataFrame:
+def colour_branches(rays: DataFrame, distance: float | None = None) -> DataFrame:
     """Red: the median alpha of a point and its four nearest, less with range; green: how unlike a line its surroundings are."""
     own = rays.where("alpha > 0")
     near = nearest(own, own, 4, distance).join(own.select(F.col("ray_id").alias("other_id"), F.col("alpha").alias("_a")), "other_id")
@@ -26,7 +27,7 @@ def colour_branches(rays: DataFrame, distance: float) -> DataFrame:
     return x.drop("red", "_as").withColumnRenamed("_red", "red").select(*rays.columns)
 
 
-def lit(rays: DataFrame, k: int, distance: float) -> DataFrame:
+def lit(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:
     """ray_id, light (0 to 1, from direction (0.2, 0.4, 1)) and curvature: how height over the tangent plane grows with squared distance in it."""
     s = surfels(rays, k, distance).select("ray_id", "nx", "ny", "nz")
     own = rays.where("alpha > 0")
@@ -84,18 +85,26 @@ def shoulder(distances: DataFrame, powers: tuple[float, ...] = (1.0, 1.5, 2.0, 2
     return best.select("power", F.pow(F.col("b.e"), F.lit(1.0) / F.col("power")).alias("distance"), (F.lit(100.0) * F.col("b.i") / F.col("b.n")).alias("similarity"), F.col("b.error").alias("error"))
 
 
-def clusters(points: DataFrame, group: str, near: float, widest: float, k: int = 8) -> DataFrame:
-    """group, ray_id, cluster: within each group, nearest pairs first, clusters join while their box stays narrower than widest.
+def clusters(points: DataFrame, near: float, widest: float, k: int = 8) -> DataFrame:
+    """group, ray_id, cluster: nearest pairs first, clusters join while their box stays narrower than widest. cluster is its smallest ray_id.
 
-    The order of joins makes this sequential in a group; groups are spread over tasks.
+    Pairs are each point's k nearest within near. No cluster leaves a component of these (group); the order of joins makes
+    a component sequential, so one task holds its pairs.
     """
     import numpy as np
     import pandas as pd
 
+    pairs = kept(nearest(points, points, k, near).select("ray_id", "other_id", "d2", *E, "ox", "oy", "oz"))
+    label = kept(components(pairs.select(F.col("ray_id").alias("a"), F.col("other_id").alias("b"))).select(F.col("node").alias("ray_id"), F.col("root").alias("group")))
+
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("ray_id").reset_index(drop=True)
-        p = df[["ex", "ey", "ez"]].to_numpy()
-        root = list(range(len(p)))
+        a, b = df.ray_id.to_numpy(), df.other_id.to_numpy()
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        p = np.empty((len(ids), 3))
+        p[at] = np.concatenate([df[["ex", "ey", "ez"]].to_numpy(), df[["ox", "oy", "oz"]].to_numpy()])
+        x, y = at[: len(a)], at[len(a) :]
+        i, j, d = np.minimum(x, y), np.maximum(x, y), df.d2.to_numpy()
+        root = list(range(len(ids)))
         low, high = p.copy(), p.copy()
 
         def find(a: int) -> int:
@@ -104,22 +113,16 @@ def clusters(points: DataFrame, group: str, near: float, widest: float, k: int =
                 a = root[a]
             return a
 
-        pairs = []
-        for i in range(len(p)):
-            d = ((p - p[i]) ** 2).sum(1)
-            d[i] = np.inf
-            for j in np.argsort(d, kind="stable")[:k]:
-                if d[j] <= near * near:
-                    pairs.append((float(d[j]), min(i, int(j)), max(i, int(j))))
-        for _, i, j in sorted(set(pairs)):
-            a, b = sorted((find(i), find(j)))
+        for m in np.lexsort((j, i, d)).tolist():
+            a, b = sorted((find(int(i[m])), find(int(j[m]))))
             if a != b and (np.maximum(high[a], high[b]) - np.minimum(low[a], low[b])).max() < widest:
                 root[b] = a
                 low[a], high[a] = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
-        return pd.DataFrame({"group": df["group"], "ray_id": df.ray_id, "cluster": [int(df.ray_id[find(i)]) for i in range(len(p))]})
+        return pd.DataFrame({"group": df.group.iloc[0], "ray_id": ids, "cluster": ids[[find(m) for m in range(len(ids))]]})
 
-    x = points.select(F.col(group).cast("long").alias("group"), "ray_id", "ex", "ey", "ez")
-    return x.groupBy("group").applyInPandas(run, "group long, ray_id long, cluster long")
+    joined = pairs.join(label, "ray_id").groupBy("group").applyInPandas(run, "group long, ray_id long, cluster long")
+    alone = points.select("ray_id").join(label, "ray_id", "left_anti")
+    return joined.unionByName(alone.select(F.col("ray_id").alias("group"), "ray_id", F.col("ray_id").alias("cluster")))
 
 
 def rigid_motion(pairs: DataFrame) -> tuple[list[list[float]], list[float]]:

@@ -76,7 +76,7 @@ f as (select lv, vx, vy, vz, min(ray_id) ray_id from v group by all),
 s as (select distinct u.lv, {', '.join(f'cast(floor(f.v{a} / ({_S})[u.lv - f.lv]) as bigint) v{a}' for a in 'xyz')} from f join (select distinct lv from f) u on u.lv > f.lv)
 select ray_id from f anti join s using (lv, vx, vy, vz)""")
 on_rays("dec06_time_slots", lambda r: _ALL(dec.time_slots(r, 1800.0)), _FIRST("floor(time / 1800.0::double)"))
-register("dec04_ray_space", lambda s, d: out(dec.ray_space(adapter.rays_knn(s, d), 1.0), ("ray_id",)))
+register("dec04_ray_space", lambda s, d: out(dec.ray_space(adapter.rays(s, d), 1.0), ("ray_id",)))
 
 on_rays("win01_adjacent_rays", lambda r: out(o.adjacent_change(r), ("ray_id",), ("range_change", "time_change")), f"""
 x as (select ray_id, {LENGTH} r, time from rays), y as (select ray_id, r - lag(r) over w range_change, time - lag(time) over w time_change from x window w as (order by ray_id))

@@ -26,5 +26,5 @@ def sql_out(exact: Iterable[str] = (), rounded: Iterable[str] = (), digits: int
 
 def on_rays(name: str, op: Callable[[DataFrame], DataFrame], body: str | None, table: str = "rays", recursive: bool = False) -> None:
     """A query that is one operator on one adapted table."""
-    source = {"rays": adapter.rays, "rays_b": adapter.rays_b, "rays_knn": adapter.rays_knn, "trajectory": adapter.trajectory, "segments": adapter.segments}[table]
+    source = {"rays": adapter.rays, "rays_b": adapter.rays_b, "trajectory": adapter.trajectory, "segments": adapter.segments}[table]
     register(name, lambda spark, d: op(source(spark, d)), adapter.duck(body, table, recursive=recursive) if body else None)

@@ -40,8 +40,8 @@ on_rays("flt14_denoise_range", lambda r: out(f.denoise_by_range(r, 0.1), ("ray_i
 x as (select ray_id, alpha, {LENGTH} r1 from rays), y as (select *, lag(r1) over w r0, lead(r1) over w r2 from x window w as (order by ray_id))
 select ray_id from y where r0 is not null and r2 is not null and (alpha = 0 or least(abs(r0 - r2), abs(r1 - r0), abs(r2 - r1)) < 0.1)""")
 on_rays("flt15_denoise_distance", lambda r: out(f.denoise_by_distance(r, 0.5), ("ray_id",)), """
-select ray_id from rays_knn a where alpha = 0 or exists (select 1 from rays_knn b where b.ray_id <> a.ray_id and
-  (a.ex - b.ex) * (a.ex - b.ex) + (a.ey - b.ey) * (a.ey - b.ey) + (a.ez - b.ez) * (a.ez - b.ez) < 0.25)""", "rays_knn")
+select ray_id from rays a where alpha = 0 or exists (select 1 from rays b where b.ray_id <> a.ray_id and
+  (a.ex - b.ex) * (a.ex - b.ex) + (a.ey - b.ey) * (a.ey - b.ey) + (a.ez - b.ez) * (a.ez - b.ez) < 0.25)""", "rays")
 on_rays("flt17_crop", lambda r: out(f.crop_to_cell(r, 6.0, (1, 2)), ("ray_id",)), "select ray_id from rays where floor(0.5::double + ex / 6.0::double) = 1 and floor(0.5::double + ey / 6.0::double) = 2")
 
 

@@ -79,12 +79,12 @@ al as (select *, sqrt(greatest(0.0::double, 1.0::double - (tt - tr * tr / rr)))
 meet as (select shape_id, shape_time, ray_id, time, case when rl * (1.0::double - 0.05::double / len) > ta + along then 'pass' else 'hit' end outcome from al where rl >= ta - along)"""
 
 
-_SELF = f"{_EL}, {_shapes_sql().format(src='rays_knn')}, {_meet_sql('rays_knn')}"
-on_rays("jon07_ellipsoid_rays", lambda x: nn.intersect(nn.ellipsoids(x, K, D), x, W).select("shape_id", "ray_id", "outcome"), f"{_SELF} select shape_id, ray_id, outcome from meet", "rays_knn")
+_SELF = f"{_EL}, {_shapes_sql().format(src='rays')}, {_meet_sql('rays')}"
+on_rays("jon07_ellipsoid_rays", lambda x: nn.intersect(nn.ellipsoids(x, K, D), x, W).select("shape_id", "ray_id", "outcome"), f"{_SELF} select shape_id, ray_id, outcome from meet", "rays")
 _EV = """ag as (select shape_id, shape_time, count(*) filter (outcome = 'hit') hits, count(*) filter (outcome = 'pass') passes, min(time) filter (outcome = 'hit') fh, max(time) filter (outcome = 'hit') lh from meet group by all),
 gn as (select shape_id, count(*) filter (outcome = 'pass' and meet.time < coalesce(fh, 'inf'::double) and not meet.time > coalesce(lh, '-inf'::double)) nb, count(*) filter (outcome = 'pass' and meet.time > coalesce(lh, '-inf'::double)) na from meet join ag using (shape_id) group by shape_id),
 ev as (select ag.*, nb, na, case when hits = 0 then 0.0::double else (hits + (1e-8::double - 1.0::double)) / ((hits + (1e-8::double - 1.0::double)) + passes - nb - na) end op from ag join gn using (shape_id))"""
-on_rays("mrg01_transient_evidence", lambda x: m.evidence(nn.intersect(nn.kept(nn.ellipsoids(x, K, D)), x, W), True).select("shape_id", "hits", "passes", "num_before", "num_after", F.round("opacity", 5).alias("opacity")), f"{_SELF}, {_EV} select shape_id, hits, passes, nb num_before, na num_after, round(op, 5) opacity from ev", "rays_knn")
+on_rays("mrg01_transient_evidence", lambda x: m.evidence(nn.intersect(nn.kept(nn.ellipsoids(x, K, D)), x, W), True).select("shape_id", "hits", "passes", "num_before", "num_after", F.round("opacity", 5).alias("opacity")), f"{_SELF}, {_EV} select shape_id, hits, passes, nb num_before, na num_after, round(op, 5) opacity from ev", "rays")
 
 
 def _mode(mode: str, n: float):
@@ -101,15 +101,15 @@ gone as (select shape_id ray_id from vd where eno and shp union select ray_id fr
 
 
 for _mode_name in ("min", "max", "oldest", "newest"):
-    on_rays(f"mrg01_transients_{_mode_name}", lambda x, mode=_mode_name: m.transients(x, mode, 2.0, K, D, W).select("ray_id", "part"), f"{_SELF}, {_EV}, {_goes(_mode_name, 2.0)} select ray_id, case when ray_id in (select ray_id from gone) then 'transient' else 'fixed' end part from rays_knn", "rays_knn")
+    on_rays(f"mrg01_transients_{_mode_name}", lambda x, mode=_mode_name: m.transients(x, mode, 2.0, K, D, W).select("ray_id", "part"), f"{_SELF}, {_EV}, {_goes(_mode_name, 2.0)} select ray_id, case when ray_id in (select ray_id from gone) then 'transient' else 'fixed' end part from rays", "rays")
 
 
 def _pair(s, d):
-    return adapter.rays_knn(s, d), adapter.rays_b(s, d).where("ray_id % 5 = 1")
+    return adapter.rays(s, d), adapter.rays_b(s, d)
 
 
 register("mrg02_merge", lambda s, d: m.merge(*_pair(s, d), "min", 1.0, K, D, W).select("ray_id", "cloud", "part"))
-register("mrg03_three_way", lambda s, d: m.merge_three_way(adapter.rays_knn(s, d).where("ray_id % 15 <> 0"), adapter.rays_knn(s, d).where("ray_id % 10 <> 5"), adapter.rays_knn(s, d).where("ray_id % 20 <> 0"), "all", 1.0, K, D, W))
+register("mrg03_three_way", lambda s, d: m.merge_three_way(adapter.rays(s, d).where("ray_id % 15 <> 0"), adapter.rays(s, d).where("ray_id % 10 <> 5"), adapter.rays(s, d).where("ray_id % 20 <> 0"), "all", 1.0, K, D, W))
 on_rays("mrg05_voxel_width", lambda x: out(m.voxel_width(i.point_spacing(x)), (), ("width",)), """
 b as (select 5.0::double * pow((max(ex) - min(ex)) * (max(ey) - min(ey)) * (max(ez) - min(ez)), 1.0::double / 3.0::double) / sqrt(count(*)) w, count(*) n from rays where alpha > 0),
 c as (select distinct floor(ex / w), floor(ey / w), floor(ez / w) from rays, b where alpha > 0) select round(4.0::double * w / sqrt(n::double / (select count(*) from c)), 6) width from b""")

@@ -14,14 +14,13 @@ from beamgrid.registry import register
 
 from .common import on_rays, out
 from .filters import LENGTH
-from .relations import _D2, D, _diff
+from .relations import _any_sql, _diff
 from .trees import _MESH, _mesh
 
-on_rays("prj17_colour_branches", lambda r: sh.colour_branches(r, D).select("ray_id", "red"), f"""
-own as (select * from rays_knn where alpha > 0), pr as (select a.ray_id, b.alpha, row_number() over (partition by a.ray_id order by {_D2}, b.ray_id) k from own a join own b on a.ray_id <> b.ray_id and {_D2} <= {D * D} qualify k <= 4),
-al as (select ray_id, alpha from pr union all select ray_id, alpha from own), md as (select ray_id, median(alpha) m from al group by ray_id)
-select ray_id, cast(trunc(greatest(0.0::double, least(255.0::double, 127.0::double + 2.0::double * m / (1.0::double + {LENGTH} / 100.0::double) - 200.0::double))) as smallint) red from own join md using (ray_id)""", "rays_knn")
-on_rays("prj18_lit", lambda r: out(sh.lit(r, 8, D), ("ray_id",), ("light",), 4), None, "rays_knn")
+on_rays("prj17_colour_branches", lambda r: sh.colour_branches(r).select("ray_id", "red"), f"""{_any_sql(4)},
+al as (select near.ray_id, own.alpha from near join own on own.ray_id = other_id union all select ray_id, alpha from own), md as (select ray_id, median(alpha) m from al group by ray_id)
+select ray_id, cast(trunc(greatest(0.0::double, least(255.0::double, 127.0::double + 2.0::double * m / (1.0::double + {LENGTH} / 100.0::double) - 200.0::double))) as smallint) red from own join md using (ray_id)""", "rays")
+on_rays("prj18_lit", lambda r: out(sh.lit(r, 8), ("ray_id",), ("light",), 4), None, "rays")
 register("flt11_split_by_mesh", lambda s, d: sh.split_by_mesh(adapter.rays(s, d), *_mesh(s, d), 0.5).select("ray_id", "side"), duck(f"""{_MESH},
 co as (select fid, {', '.join(f'{n}.x x{k}, {n}.y y{k}, {n}.z z{k}' for k, n in enumerate('abc'))} from faces join vert a on a.vid = v0 join vert b on b.vid = v1 join vert c on c.vid = v2),
 j as (select ray_id, ez, co.*, ex x, ey y, (y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2) d from rays join co on ex between least(x0, x1, x2) and greatest(x0, x1, x2) and ey between least(y0, y1, y2) and greatest(y0, y1, y2)),
@@ -29,7 +28,7 @@ b as (select *, ((y1 - y2) * (x - x2) + (x2 - x1) * (y - y2)) / d u, ((y2 - y0)
 o as (select ray_id from b where u >= 0 and w >= 0 and u + w < 1 and ez > u * z0 + w * z1 + (1.0::double - u - w) * z2 + 0.5::double group by ray_id having count(*) % 2 = 1)
 select ray_id, case when ray_id in (select ray_id from o) then 'inside' else 'outside' end side from rays"""))
 register("dif02_shoulder", lambda s, d: out(sh.shoulder(nn.cloud_distances(*_diff(s, d))), ("power",), ("distance", "similarity"), 3))
-on_rays("nn06_clusters", lambda r: sh.clusters(r.where("alpha > 0").withColumn("group", g.floor_index("ex", 4.0)), "group", 0.6, 2.0), None, "rays_knn")
+on_rays("nn06_clusters", lambda r: sh.clusters(r.where("alpha > 0"), 0.6, 2.0), None, "rays")
 
 
 def _motion(s, d):

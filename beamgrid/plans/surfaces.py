@@ -37,7 +37,7 @@ register("reg01_coarse_align", _aligned, "select 0.0::double yaw, 3.0::double x,
 
 
 def _ground(s, d):
-    v_, f = su.ground_mesh(te.ground_front(adapter.rays_knn(s, d), 0.5, 8.0))
+    v_, f = su.ground_mesh(te.ground_front(adapter.rays(s, d), 0.5, 8.0))
     return f.join(v_.select(F.col("vid").alias("v0"), F.col("z").alias("z0")), "v0").select("fid", "v0", "v1", "v2", g.rounded("z0").alias("z0"))
 
 

@@ -96,11 +96,11 @@ select px, py, n, bx, by_ "by", round(low, 6) low, round(high, 6) high from t wh
 
 def _trunks(s, d):
     k = F.col("tree_id")
-    x = adapter.segments(s, d).where("seg_id = 0 and tree_id % 5 = 0")
+    x = adapter.segments(s, d).where("seg_id = 0")
     return x.select(k.alias("trunk_id"), "x", "y", F.lit(2.5).alias("z"), (F.lit(0.3) + (k % 7) / F.lit(10.0)).alias("radius"), F.lit(5.0).alias("length"), F.lit(0.0).alias("dx"), F.lit(0.6).alias("dy"), F.lit(0.8).alias("dz"), (F.lit(0.0) + (k % 11) / F.lit(4.0)).alias("base"), (F.lit(3.0) + (k % 3)).alias("height"))
 
 
-_TRUNKS = "tk as (select tree_id trunk_id, x, y, 2.5::double z, 0.3::double + (tree_id % 7) / 10::double radius, (tree_id % 11) / 4::double base, 3.0::double + tree_id % 3 height from segments where seg_id = 0 and tree_id % 5 = 0)"
+_TRUNKS = "tk as (select tree_id trunk_id, x, y, 2.5::double z, 0.3::double + (tree_id % 7) / 10::double radius, (tree_id % 11) / 4::double base, 3.0::double + tree_id % 3 height from segments where seg_id = 0)"
 _TPTS = f"""{_TRUNKS}, ta as (select trunk_id, ray_id, ex, ey, ez, radius, (ex - x) tx, (ey - y) ty, (ez - z) tz from rays, tk where alpha > 0), tb as (select *, tx * 0.0::double + ty * 0.6::double + tz * 0.8::double along from ta),
 tc as (select *, sqrt(greatest(0.0::double, tx * tx + ty * ty + tz * tz - along * along)) "off" from tb), tp as (select * from tc where abs(along) <= 2.5 and "off" <= radius)"""
 register("jon11_trunk_points", lambda s, d: out(tr.trunk_points(adapter.rays(s, d), _trunks(s, d)), ("trunk_id", "ray_id"), ("along", "off")), duck(f'{_TPTS} select trunk_id, ray_id, round(along, 6) + 0.0::double along, round("off", 6) "off" from tp', "rays", "segments"))
@@ -116,13 +116,13 @@ def _closest(s, d):
     seg = adapter.segments(s, d)
     p = seg.select("tree_id", F.col("seg_id").alias("parent_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     x = seg.join(p, ["tree_id", "parent_id"])
-    r = adapter.rays(s, d).where("ray_id % 10 = 0").withColumn("tree_id", F.col("ray_id") % 150)
+    r = adapter.rays(s, d).withColumn("tree_id", F.col("ray_id") % 150)
     return out(tr.closest_on_segment(r.join(x, "tree_id")), ("ray_id", "tree_id", "seg_id"), ("distance",))
 
 
 register("aux04_closest_on_segment", _closest, duck("""
 p as (select a.*, b.x px, b.y py, b.z pz from segments a join segments b on a.tree_id = b.tree_id and a.parent_id = b.seg_id),
-j as (select ray_id, p.tree_id, seg_id, radius, ex - px tx, ey - py ty, ez - pz tz, x - px ax, y - py ay, z - pz az from rays join p on p.tree_id = ray_id % 150 where ray_id % 10 = 0),
+j as (select ray_id, p.tree_id, seg_id, radius, ex - px tx, ey - py ty, ez - pz tz, x - px ax, y - py ay, z - pz az from rays join p on p.tree_id = ray_id % 150),
 k as (select *, greatest(0.0::double, least(1.0::double, coalesce((tx * ax + ty * ay + tz * az) / nullif(ax * ax + ay * ay + az * az, 0), 0.0::double))) d from j)
 select ray_id, tree_id, seg_id, round(sqrt((tx - ax * d) ** 2 + (ty - ay * d) ** 2 + (tz - az * d) ** 2) - radius, 6) + 0.0::double distance from k""", "rays", "segments"))
 _LAB = lambda r: v.height_field(r, 0.5).withColumn("tree_id", F.floor(F.col("px") / 8) * 100 + F.floor(F.col("py") / 8))
