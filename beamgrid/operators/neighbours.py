@@ -1,12 +1,13 @@
-"""Nearest neighbours by voxel-keyed equi-joins, and what follows from them: shapes, normals, ellipsoids, gaps, differences."""
+"""Nearest neighbours by tiles of equal number, and what follows from them: shapes, normals, ellipsoids, gaps, differences."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beamgrid.functions import colour as c
 from beamgrid.functions import geometry as g
@@ -16,85 +17,75 @@ from .graph import components, kept
 E = ("ex", "ey", "ez")
 
 
-def _cells(points: DataFrame, width: float) -> DataFrame:
-    return points.withColumns(g.voxel(width))
+#: Others in a tile, about. Tiles are searched each by itself, so a task's memory follows this, not the cloud's density.
+TILE = 16384
 
+#: Pairs of points that a search holds at once.
+ONE_ROUND = 1e6
 
-def _spread(cells: DataFrame, reach: int = 1) -> DataFrame:
-    off = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
-    for v in ("vx", "vy", "vz"):
-        cells = cells.withColumn("_o", F.explode(off)).withColumn(v, F.col(v) + F.col("_o")).drop("_o")
-    return cells
 
+def _finite(*columns: str) -> Column:
+    """No point without a place has neighbours."""
+    return functools.reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in columns])
 
-def pairs_within(points: DataFrame, others: DataFrame, distance: float, self_join: bool = True) -> DataFrame:
-    """ray_id, other_id, d2 and the other's end: all pairs at most distance apart. Cells are as wide as that, so 27 hold every pair."""
-    a = _spread(_cells(points.select("ray_id", *E), distance))
-    b = _cells(others.select("ray_id", *E), distance).select(F.col("ray_id").alias("other_id"), *[F.col(e).alias(f"o{e[1]}") for e in E], "vx", "vy", "vz")
-    d2 = sum((F.col(e) - F.col(f"o{e[1]}")) * (F.col(e) - F.col(f"o{e[1]}")) for e in E)
-    x = a.join(b, ["vx", "vy", "vz"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance)
-    return (x.where("ray_id <> other_id") if self_join else x).drop("vx", "vy", "vz")
 
-
-def _ranked(points: DataFrame, others: DataFrame, k: int, distance: float, self_join: bool) -> DataFrame:
-    w = Window.partitionBy("ray_id").orderBy("d2", "other_id")
-    return pairs_within(points, others, distance, self_join).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _span(points: DataFrame, others: DataFrame) -> float:
-    """A length that no two points of both clouds are apart."""
-    sides = points.select(*E).unionByName(others.select(*E)).agg(*[(F.max(e) - F.min(e)).alias(e) for e in E]).first()
-    return sum(s * s for s in sides if s is not None) ** 0.5 * 1.000001
-
-
-#: Pairs of points in adjoining cells up to which one round is cheaper than several.
-ONE_ROUND = 2e7
-
-
-def _first_reach(points: DataFrame, others: DataFrame, k: int, width: float) -> float:
-    """width, halved until a ball of that radius holds about 2 k points where the cloud is as dense as its points see it on average."""
-    cells = [_cells(x.select(*E), width).groupBy("vx", "vy", "vz").agg(F.count("*").cast("double").alias(n)) for x, n in ((points, "p"), (others, "n"))]
-    both = cells[0].join(cells[1], ["vx", "vy", "vz"]).agg(F.sum(F.col("p") * F.col("n")).alias("pairs"), F.sum("p").alias("p")).first()
-    if 27.0 * (both.pairs or 0.0) <= ONE_ROUND:
-        return width
-    return width / 2.0 ** math.floor(math.log2(max(1.0, 2.0 * both.pairs / both.p / k)) / 3.0)
+def _met(others: DataFrame, points: DataFrame, run: Callable) -> DataFrame:
+    """run over each tile's others and points. Where a tile has many points, they are dealt out, each part with all its others."""
+    parts = points.groupBy("tile").count().where(F.col("count") > 2 * TILE).select("tile", F.ceil(F.col("count") / (2 * TILE)).cast("int").alias("_parts")).collect()
+    if parts:
+        many = F.broadcast(points.sparkSession.createDataFrame(parts, "tile int, _parts int"))
+        n = F.coalesce("_parts", F.lit(1))
+        others = others.join(many, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+        points = points.join(many, "tile", "left").withColumn("part", F.pmod(F.xxhash64("ray_id"), n.cast("long")).cast("int")).drop("_parts")
+    else:
+        others, points = others.withColumn("part", F.lit(0)), points.withColumn("part", F.lit(0))
+    ray, other = points.schema["ray_id"].dataType.simpleString(), others.schema["other_id"].dataType.simpleString()
+    schema = f"ray_id {ray}, ex double, ey double, ez double, within double, near array<struct<other_id: {other}, ox: double, oy: double, oz: double, d2: double, rank: int>>, more array<int>"
+    return kept(others.groupBy("tile", "part").cogroup(points.groupBy("tile", "part")).applyInArrow(run, schema))
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, distance: float | None = None, self_join: bool = True) -> DataFrame:
     """The k nearest at most distance apart (None: however far), with rank from 1; ties go to the smaller id.
 
-    In a dense cloud most points have k neighbours far nearer than distance. So rounds begin at a reach that fits the density, and
-    only points without k neighbours go on with three times that; results are those of one round at the whole distance.
+    Others are cut into tiles of nearly equal number (their borders come from some of the points, as in a range partitioning), so
+    none is larger where a cloud is dense. Each point is searched in its own tile; then, with the reach that this gives, in every
+    other tile that its ball meets. Of others in the same place only the first k (and the point itself) can be among the nearest.
     """
-    far = _span(points, others) if distance is None else distance
-    reach = _first_reach(points, others, k, distance or max(far / 32, 1e-6))
-    return _rounds(points, others, k, reach, far, self_join) if reach < far else _ranked(points, others, k, max(far, 1e-6), self_join)
-
-
-def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self_join: bool = True) -> DataFrame:
-    """nearest() however far, with a first reach of width."""
-    return _rounds(points, others, k, width, _span(points, others), self_join)
+    import numpy as np
 
+    from . import tiles
+
+    o = others.where(_finite(*E)).select(F.col("ray_id").alias("other_id"), *[F.col(e).cast("double").alias(f"o{e[1]}") for e in E])
+    place = Window.partitionBy("ox", "oy", "oz").orderBy("other_id")
+    o = kept(o.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + self_join).drop("_n"))
+    n = o.count()
+    share = max(1, TILE // 64)
+    some = o.where(F.pmod(F.xxhash64("other_id"), F.lit(share)) == 0) if n > TILE else o.limit(0)
+    tree = tiles.splits(some.select("ox", "oy", "oz").toPandas().to_numpy(float).reshape(-1, 3), max(1, TILE // share))
+    cut = len(tree[0]) > 0
+    o = kept(o.mapInArrow(tiles.tiler(tree, ("ox", "oy", "oz")), T.StructType([*o.schema, T.StructField("tile", T.IntegerType())]))) if cut else o.withColumn("tile", F.lit(1))
+    within = F.lit(float("inf") if distance is None else float(distance) * float(distance)).alias("within")
+    p = points.where(_finite(*E)).select("ray_id", *[F.col(e).cast("double").alias(e) for e in E], within)
+    p = kept(p.mapInArrow(tiles.tiler(tree, E), T.StructType([*p.schema, T.StructField("tile", T.IntegerType())])) if cut else p.withColumn("tile", F.lit(1)))
+    boxes, room = None, max(1, int(ONE_ROUND))
+    if cut:
+        sides = [f(f"o{a}").alias(f"{name}_{a}") for name, f in (("low", F.min), ("high", F.max)) for a in "xyz"]
+        b = o.groupBy("tile").agg(*sides).orderBy("tile").toPandas()
+        boxes = b["tile"].to_numpy(np.int32), b[[f"low_{a}" for a in "xyz"]].to_numpy(float), b[[f"high_{a}" for a in "xyz"]].to_numpy(float)
+    x = _met(o, p, tiles.searcher(k, self_join, room, boxes))
+    flat = lambda df: df.select("ray_id", *E, F.inline("near"))
+    if not cut:
+        return flat(x)
+    crossing = x.where(F.size("more") > 0)
+    further = _met(o, crossing.select("ray_id", *E, "within", F.explode("more").alias("tile")), tiles.searcher(k, self_join, room, None))
+    w = Window.partitionBy("ray_id").orderBy("d2", "other_id")
+    both = flat(crossing).unionByName(flat(further)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return flat(x.where(F.size("more") == 0)).unionByName(kept(both))
 
-def _rounds(points: DataFrame, others: DataFrame, k: int, reach: float, far: float, self_join: bool) -> DataFrame:
-    """The k nearest at most far apart.
 
-    Each round decides every point that has k neighbours within the round's reach, and only the rest go on with three times that,
-    until none is left or the reach is far; then fewer than k neighbours are all there are.
-    """
-    out, left, d = None, points, reach
-    while True:
-        last = d >= far
-        x = _ranked(left, others, k, far if last and far > 0 else d, self_join)
-        if not last:
-            x = kept(x)
-            done = x.where(F.col("rank") == k).select("ray_id")
-            left = kept(left.select("ray_id", *E).join(done, "ray_id", "left_anti"))
-            x = x.join(done, "ray_id", "left_semi")
-        out = x if out is None else out.unionByName(x)
-        if last or left.isEmpty():
-            return out
-        d *= 3.0
+def nearest_any(points: DataFrame, others: DataFrame, k: int, width: float, self_join: bool = True) -> DataFrame:
+    """nearest() however far. width is not needed any more: tiles follow the density."""
+    return nearest(points, others, k, None, self_join)
 
 
 def covariance(points: DataFrame, neighbours: DataFrame, with_self: bool = True) -> DataFrame:
