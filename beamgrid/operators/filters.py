@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from beamgrid.functions import geometry as g
 
+from .neighbours import nearest
+
 Triple = tuple[float, float, float]
 
 
@@ -84,16 +86,10 @@ def denoise_by_range(rays: DataFrame, gap: float) -> DataFrame:
 
 
 def denoise_by_distance(rays: DataFrame, distance: float) -> DataFrame:
-    """Keeps unbounded rays and those with another ray's end (bounded or not) nearer than distance: a semi-join on cells of that width."""
-    cells = rays.select("ray_id", "ex", "ey", "ez", *[c.alias(n) for n, c in g.voxel(distance).items()])
-    off = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    mine = cells.join(rays.where("alpha > 0").select("ray_id"), "ray_id", "left_semi")
-    for v in ("vx", "vy", "vz"):
-        mine = mine.withColumn("_o", F.explode(off)).withColumn(v, F.col(v) + F.col("_o")).drop("_o")
-    other = cells.select(F.col("ray_id").alias("other"), F.col("ex").alias("ox"), F.col("ey").alias("oy"), F.col("ez").alias("oz"), "vx", "vy", "vz")
-    d2 = (F.col("ex") - F.col("ox")) ** 2 + (F.col("ey") - F.col("oy")) ** 2 + (F.col("ez") - F.col("oz")) ** 2
-    near = mine.join(other, ["vx", "vy", "vz"]).where((F.col("other") != F.col("ray_id")) & (d2 < distance * distance)).select("ray_id").distinct()
-    return rays.where("alpha = 0").unionByName(rays.where("alpha > 0").join(near, "ray_id", "left_semi"))
+    """Keeps unbounded rays and those with another ray's end (bounded or not) nearer than distance: the nearest one decides."""
+    own = rays.where("alpha > 0")
+    near = nearest(own, rays, 1, distance).where(F.col("d2") < distance * distance).select("ray_id")
+    return rays.where("alpha = 0").unionByName(own.join(near, "ray_id", "left_semi"))
 
 
 def crop_to_cell(rays: DataFrame, width: float, cell: tuple[int, int] = (0, 0)) -> DataFrame:
