@@ -29,7 +29,7 @@ def _finite(*columns: str) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in columns])
 
 
-def _met(others: DataFrame, points: DataFrame, run: Callable) -> DataFrame:
+def _met(others: DataFrame, points: DataFrame, run: Callable, schema: str | None = None) -> DataFrame:
     """run over each tile's others and points. Where a tile has many points, they are dealt out, each part with all its others."""
     parts = points.groupBy("tile").count().where(F.col("count") > 2 * TILE).select("tile", F.ceil(F.col("count") / (2 * TILE)).cast("int").alias("_parts")).collect()
     if parts:
@@ -39,8 +39,9 @@ def _met(others: DataFrame, points: DataFrame, run: Callable) -> DataFrame:
         points = points.join(many, "tile", "left").withColumn("part", F.pmod(F.xxhash64("ray_id"), n.cast("long")).cast("int")).drop("_parts")
     else:
         others, points = others.withColumn("part", F.lit(0)), points.withColumn("part", F.lit(0))
-    ray, other = points.schema["ray_id"].dataType.simpleString(), others.schema["other_id"].dataType.simpleString()
-    schema = f"ray_id {ray}, ex double, ey double, ez double, within double, near array<struct<other_id: {other}, ox: double, oy: double, oz: double, d2: double, rank: int>>, more array<int>"
+    if schema is None:
+        ray, other = points.schema["ray_id"].dataType.simpleString(), others.schema["other_id"].dataType.simpleString()
+        schema = f"ray_id {ray}, ex double, ey double, ez double, within double, near array<struct<other_id: {other}, ox: double, oy: double, oz: double, d2: double, rank: int>>, more array<int>"
     return kept(others.groupBy("tile", "part").cogroup(points.groupBy("tile", "part")).applyInArrow(run, schema))
 
 
@@ -166,37 +167,43 @@ def ellipsoids(rays: DataFrame, k: int = 16, distance: float = 1.0, scale: float
 
 
 def intersect(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: float = 0.05) -> DataFrame:
-    """shape_id, ray_id, time (the ray's), outcome (pass or hit) for each ray that meets an ellipsoid.
+    """shape_id, shape_time, ray_id, time (the ray's), outcome (pass or hit) for each ray that meets an ellipsoid.
 
-    Rays are walked through voxels, only those that an ellipsoid's box touches (a semi-join first), and met by equi-join.
+    Ellipsoids are cut into tiles of nearly equal number, rays go to the tiles whose box they meet, and down a tree of boxes there, so
+    that work follows the meetings, not the density in voxels. A ray counts only where its walk through voxels of that width comes to
+    a voxel that the ellipsoid's box touches; a ray through the ellipsoid itself does, the others (those that lie beside a ray's
+    start, in its line) are walked.
     """
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from . import meets, tiles
     from .voxel import walk
 
-    s = shapes.withColumnRenamed("ray_id", "shape_id").withColumnRenamed("time", "shape_time")
+    mean = [f"mean_{a}" for a in "xyz"]
+    s = shapes.where(_finite(*mean, *[f"ext_{a}" for a in "xyz"], *meets.M)).withColumnRenamed("ray_id", "shape_id").withColumnRenamed("time", "shape_time")
     for a in "xyz":
         lo, hi = F.col(f"mean_{a}") - F.col(f"ext_{a}"), F.col(f"mean_{a}") + F.col(f"ext_{a}")
-        s = s.withColumn(f"v{a}", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
-    keys = ["vx", "vy", "vz"]
-    w = walk(rays, width).join(s.select(*keys).distinct(), keys, "left_semi").select("ray_id", *keys)
-    pairs = w.join(s.select("shape_id", *keys), keys).select("shape_id", "ray_id").distinct()
-    x = pairs.join(shapes.withColumnRenamed("ray_id", "shape_id").withColumnRenamed("time", "shape_time"), "shape_id").join(rays, "ray_id")
-    ray = g.minus(g.ends(), g.starts())
-    to = [F.col(f"mean_{a}") - F.col(f"s{a}") for a in "xyz"]
-    m = {("x", "x"): "m_xx", ("x", "y"): "m_xy", ("x", "z"): "m_xz", ("y", "y"): "m_yy", ("y", "z"): "m_yz", ("z", "z"): "m_zz"}
-
-    def form(p: list[Column], q: list[Column]) -> Column:
-        out = F.lit(0.0)
-        for i, a in enumerate("xyz"):
-            for j, b in enumerate("xyz"):
-                out = out + F.col(m[tuple(sorted((a, b)))]) * p[i] * q[j]
-        return out
-
-    x = x.withColumns({"_rr": form(ray, ray), "_tr": form(to, ray), "_tt": form(to, to), "_len": g.norm(ray)})
-    x = x.withColumn("_d2", F.col("_tt") - F.col("_tr") * F.col("_tr") / F.col("_rr")).where("_d2 <= 1.0")
-    x = x.withColumns({"_along": F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_d2"))), "_rl": F.sqrt("_rr")}).withColumn("_at", F.col("_tr") / F.col("_rl"))
-    x = x.where(F.col("_rl") >= F.col("_at") - F.col("_along"))
-    passes = F.col("_rl") * (F.lit(1.0) - F.lit(pass_distance) / F.col("_len")) > F.col("_at") + F.col("_along")
-    return x.select("shape_id", "shape_time", "ray_id", "time", F.when(passes, "pass").otherwise("hit").alias("outcome"))
+        s = s.withColumns({f"lo_{a}": F.floor(lo / width), f"hi_{a}": F.floor(hi / width)})
+    edges = {f"low_{a}": F.col(f"lo_{a}") * F.lit(float(width)) for a in "xyz"} | {f"high_{a}": (F.col(f"hi_{a}") + 1) * F.lit(float(width)) for a in "xyz"}
+    s = kept(s.withColumns(edges).select("shape_id", "shape_time", *mean, *meets.M, *edges, *[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]))
+    n, share, room = s.count(), max(1, TILE // 64), max(1, int(ONE_ROUND))
+    some = s.where(F.pmod(F.xxhash64("shape_id"), F.lit(share)) == 0) if n > TILE else s.limit(0)
+    tree = tiles.splits(some.select(*mean).toPandas().to_numpy(float).reshape(-1, 3), max(1, TILE // share))
+    cut = len(tree[0]) > 0
+    tiled = kept(s.mapInArrow(tiles.tiler(tree, tuple(mean)), T.StructType([*s.schema, T.StructField("tile", T.IntegerType())])) if cut else s.withColumn("tile", F.lit(1)))
+    b = tiled.groupBy("tile").agg(*[F.min(f"low_{a}").alias(f"low_{a}") for a in "xyz"], *[F.max(f"high_{a}").alias(f"high_{a}") for a in "xyz"]).orderBy("tile").toPandas()
+    boxes = b["tile"].to_numpy(np.int32), b[[f"low_{a}" for a in "xyz"]].to_numpy(float), b[[f"high_{a}" for a in "xyz"]].to_numpy(float)
+    ends = [f"{e}{a}" for e in "se" for a in "xyz"]
+    r = rays.where(_finite(*ends)).select("ray_id", "time", *[F.col(c).cast("double").alias(c) for c in ends])
+    crossing = kept(r.mapInArrow(meets.crosser(boxes, room), T.StructType([*r.schema, T.StructField("tile", T.IntegerType())])))
+    schema = T.StructType([s.schema["shape_id"], s.schema["shape_time"], r.schema["ray_id"], r.schema["time"], T.StructField("passes", T.BooleanType()), T.StructField("sure", T.BooleanType())])
+    x = _met(tiled.select("tile", "shape_id", "shape_time", *mean, *meets.M, *edges), crossing, meets.finder(pass_distance, to_arrow_schema(schema)), schema)
+    odd = x.where("not sure")
+    steps = walk(rays.join(odd.select("ray_id").distinct(), "ray_id", "left_semi"), width).select("ray_id", "vx", "vy", "vz")
+    inside = functools.reduce(lambda p, q: p & q, [F.col(f"v{a}").between(F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"])
+    walked = odd.join(s.select("shape_id", *[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]), "shape_id").join(steps, "ray_id").where(inside).select(*x.columns).distinct()
+    return x.where("sure").unionByName(walked).select("shape_id", "shape_time", "ray_id", "time", F.when(F.col("passes"), "pass").otherwise("hit").alias("outcome"))
 
 
 def colour_by_shape(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:
