@@ -491,6 +491,17 @@ def test_log_templates(docs, empty, spark):
     assert all(out[20 + k].n_dropped == 1 and out[40 + k].n_dropped == 0 for k in range(10))  # lines of numbers go by their numbers
 
 
+def test_log_template_words(spark):
+    odd = ["", " ", "a", " a  b\tc ", "a b", "\x0b\x0ca 1 b\r", "a\xa0b c d e", "1 2 a", "1 a b", "\r", "a\r\rb\x0bc1", "a  b ", "\x1fa b c", "a b c" * 40]
+    line, rows = F.col("line"), spark.createDataFrame([(x,) for x in odd], "line string")
+    out = rows.select("line", log_templates.tokens_of(line).alias("tokens"), *[log_templates.has_words(line, n).alias(f"has{n}") for n in range(5)])
+    for r in out.collect():
+        plain = [x for x in re.split(r"[\x20\x09-\x0D]+", r.line) if x]
+        fields = [bool(re.search("[0-9]", x)) for x in plain]
+        assert r.tokens == (plain if 2 * sum(fields) > len(plain) else ["<*>" if f else x for x, f in zip(plain, fields)])
+        assert [r[f"has{n}"] for n in range(5)] == [len(plain) >= n for n in range(5)]
+
+
 # SimHash
 
 
