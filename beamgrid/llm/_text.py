@@ -18,6 +18,7 @@ NON_ALNUM = np.ones(256, bool)
 NON_ALNUM[0x30:0x3A] = NON_ALNUM[0x61:0x7B] = NON_ALNUM[0x80:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+_ONE_MORE = np.arange(1, 257, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _weights = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,15 +95,29 @@ def words(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offsets), is_word)
 
 
-def span_hashes(values: np.ndarray, lengths: np.ndarray, family: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; values holds the runs one after another, none of them empty. Families are independent."""
+@dataclass
+class Runs:
+    """Runs of bytes made ready for span_hashes(): where each begins, each byte's place in its run, and each byte plus one."""
+
+    at: np.ndarray
+    place: np.ndarray
+    one_more: np.ndarray
+
+
+def runs(values: np.ndarray, lengths: np.ndarray) -> Runs:
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
+    place -= np.repeat(at.astype(place.dtype), lengths)
+    return Runs(at, place, _ONE_MORE[values])
+
+
+def span_hashes(values: np.ndarray | Runs, lengths: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; values holds the runs one after another, none of them empty. Families are independent; for several, runs() saves their common steps."""
     if not len(lengths):
         return np.zeros(0, np.uint64)
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(len(values)) - np.repeat(at, lengths)
-    place += 3 * family  # other weights for each place
-    weights = _position_weights(int(lengths.max()) + 3 * family)
-    return mixed(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * weights[place], at))
+    r = values if isinstance(values, Runs) else runs(values, lengths)
+    weights = _position_weights(int(lengths.max()) + 3 * family)[3 * family :]  # other weights for each place
+    return mixed(np.add.reduceat(weights.take(r.place) * r.one_more, r.at))
 
 
 def word_hashes(buf: np.ndarray, w: Words) -> np.ndarray:

@@ -218,8 +218,9 @@ class _Pieces:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64), odd
         values = low[used]
+        values = t.runs(values, n)
         h, check = t.span_hashes(values, n), t.span_hashes(values, n, 1)
-        key, which, back = np.unique(h, return_index=True, return_inverse=True)
+        key, which, back = _distinct(h)
         for attempt in range(2):
             at = np.searchsorted(self.keys, key)
             known = at < len(self.keys)
@@ -261,6 +262,17 @@ class _Pieces:
             yield [len(x) // step for x in out], out
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each (any; np.unique's first one needs a slower sort), and where each of h stands among them."""
+    order = np.argsort(h)
+    ranked = h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(h), np.int32)
+    back[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ranked[fresh], order[fresh], back
+
+
 def _contractions(low: np.ndarray, kind: np.ndarray, start: np.ndarray, n: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An apostrophe alone, right before letters of its own row (which begin where fresh is set) that begin with s, t, m, d, re, ve or ll, takes those."""
     apostrophe = np.flatnonzero((low[start] == 0x27) & (n == 1))
@@ -311,8 +323,11 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
+            if batch.num_rows:
+                column = batch.column(0).cast(pa.large_binary())
+                _, at, data = column.buffers()
+                at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+                counts += np.bincount(np.frombuffer(data, kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, at[0]), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 

@@ -13,7 +13,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from beamgrid.llm import _components, chat, decontaminate, log_templates, mixing, repetition, shards, simhash, token_files, url_filter, warc
+from beamgrid.llm import _components
+from beamgrid.llm import _text as t
+from beamgrid.llm import chat, decontaminate, log_templates, mixing, repetition, shards, simhash, token_files, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, fp string, found string, repetition string, taken string, n_words string"
@@ -491,6 +493,28 @@ def test_log_templates(docs, empty, spark):
     assert all(out[20 + k].n_dropped == 1 and out[40 + k].n_dropped == 0 for k in range(10))  # lines of numbers go by their numbers
 
 
+def test_distinct_and_hash_families():
+    h = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
+    key, which, back = token_files._distinct(h)
+    assert (key == np.unique(h)).all() and (h[which] == key).all() and (key[back] == h).all()
+    assert all(len(x) == 0 for x in token_files._distinct(h[:0]))
+    values, n = np.frombuffer(b"onetwothree one" * 9, np.uint8), np.array([3, 3, 5, 4] * 9)
+    ready = t.runs(values, n)
+    plain = lambda k, f: [int(w) * (int(b) + 1) for w, b in zip(t._position_weights(5 + 3 * f)[3 * f :], values[n[:k].sum() : n[: k + 1].sum()])]
+    for f in (0, 1):
+        out = t.span_hashes(ready, n, f)
+        assert (out == t.span_hashes(values, n, f)).all()
+        assert (out == t.mixed(np.array([sum(plain(k, f)) % (1 << 64) for k in range(len(n))], np.uint64))).all()
+
+
+def test_id_counts(spark):
+    ids = [np.array(x, "<u2") for x in ([1, 2, 2], [], [7, 65535, 1], [2])]
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary")
+    for df in (rows, rows.repartition(3), rows.limit(0)):
+        out = token_files.id_counts(df, 1 << 16)
+        assert {k: int(out[k]) for k in np.flatnonzero(out).tolist()} == ({1: 2, 2: 3, 7: 1, 65535: 1} if df.count() else {})
+
+
 def test_log_template_words(spark):
     odd = ["", " ", "a", " a  b\tc ", "a b", "\x0b\x0ca 1 b\r", "a\xa0b c d e", "1 2 a", "1 a b", "\r", "a\r\rb\x0bc1", "a  b ", "\x1fa b c", "a b c" * 40]
     line, rows = F.col("line"), spark.createDataFrame([(x,) for x in odd], "line string")
