@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +87,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of whole texts that go to a Python worker at once; a task holds some copies of them, in the JVM's direct memory and in Python.
+TEXTS_AT_ONCE = 1_000
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """For steps that run within: Arrow batches of TEXTS_AT_ONCE rows at most."""
+    before = small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def small_batches(spark: SparkSession) -> str:
+    """The same from now on, for steps that run when their result is written. Gives the former setting."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= TEXTS_AT_ONCE:
+        spark.conf.set(_BATCH, str(TEXTS_AT_ONCE))
+    return before
+
+
 def drop(df: DataFrame) -> None:
     """Removes the table that stored() gave, once nothing will read it again."""
     path = _tables.pop(id(df), (None, None))[1]

@@ -139,3 +139,18 @@ def test_stages_of_nothing(tables, spark):
     docs = tables[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_of_texts_use_small_batches(spark, monkeypatch):
+    """Such a stage runs when its result is written; after the pipeline, or a failure in it, the session's setting is as before."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def fails(spark, docs, sf_dir):
+        seen.append(spark.conf.get(name))
+        raise ValueError("stop")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("fails", fails)])
+    with pytest.raises(ValueError, match="stop"):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert seen == [str(corpus_pipeline._stage.TEXTS_AT_ONCE)] and spark.conf.get(name) == before
