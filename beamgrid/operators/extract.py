@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import functools
 import math
 import random
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from beamgrid.functions import geometry as g
 
+from . import neighbours, paths, tiles
 from .graph import kept
 from .neighbours import nearest, surfels
 from .trees import trunk_fit, trunk_lean, trunk_points
@@ -55,45 +56,50 @@ def without_overlaps(found: DataFrame) -> DataFrame:
     return found.join(gone, "trunk_id", "left_anti")
 
 
-def paths_to_ground(rays: DataFrame, tile: float, halo: float, near: float, ground: float, k: int = 20) -> DataFrame:
+def paths_to_ground(rays: DataFrame, near: float, ground: float, k: int = 20) -> DataFrame:
     """ray_id, parent, root, distance: the cheapest way down from each bounded end, over near neighbours, by squared step length.
 
-    Tiles of the plan with a halo around them are searched each by itself, and each end keeps what its own tile found: a way that
-    leaves the halo isn't seen. Ends below `ground` are the roots; ends without a way have a null root.
+    Ends are cut into tiles of nearly equal number. Each tile is searched by itself; then tiles beside ends whose way has become
+    another are searched again from those, until none has, so ways may cross any number of tiles. Of ways as long the one with fewer
+    links counts, then the one to the smaller root, then over the smaller parent. Ends below `ground` are the roots; ends without a
+    way have a null root.
     """
-    import pandas as pd
-
-    own = rays.where("alpha > 0").select("ray_id", "ex", "ey", "ez")
-    e = nearest(own, own, k, near).select("ray_id", "other_id", "d2")
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
-    near_to = e.groupBy("ray_id").agg(F.collect_list("other_id").alias("n"), F.collect_list("d2").alias("d"))
-    x = own.join(near_to, "ray_id", "left").withColumn("tx", span("ex")).withColumn("ty", span("ey"))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("ray_id").reset_index(drop=True)
-        z = dict(zip(df.ray_id, df.ez, strict=True))
-        links: dict[int, list[tuple[int, float]]] = {i: [] for i in z}
-        for i, n, d in zip(df.ray_id, df.n, df.d, strict=True):
-            for j, w in zip(n if n is not None else [], d if d is not None else [], strict=True):
-                if j in links:
-                    links[i].append((j, w))
-                    links[j].append((i, w))
-        best = {i: (0.0, i, i) for i, h in z.items() if h < ground}
-        heap = [(0.0, i) for i in best]
-        heapq.heapify(heap)
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > best[i][0]:
-                continue
-            for j, w in links[i]:
-                if j not in best or d + w < best[j][0]:
-                    best[j] = (d + w, i, best[i][2])
-                    heapq.heappush(heap, (d + w, j))
-        mine = df[(np.floor(df.ex / tile) == df.tx) & (np.floor(df.ey / tile) == df.ty)]
-        got = [best.get(i) for i in mine.ray_id]
-        return pd.DataFrame({"ray_id": mine.ray_id.to_list(), "parent": pd.array([b[1] if b else None for b in got], "Int64"), "root": pd.array([b[2] if b else None for b in got], "Int64"), "distance": [b[0] if b else None for b in got]})
-
-    return x.groupBy("tx", "ty").applyInPandas(run, "ray_id long, parent long, root long, distance double")
+    own = rays.where("alpha > 0").select("ray_id", "ex", "ey", "ez").withColumn("low", F.coalesce(F.col("ez") < ground, F.lit(False)) & ~F.isnan("ez"))
+    own = kept(own)
+    links = _links(own, near, ground, k)
+    tables: list[DataFrame] = []
+    last: dict[int, int] = {}  # the round that searched a tile last
+
+    def latest() -> DataFrame:
+        parts = [t.where(F.col("tile").isin([x for x, r in last.items() if r == n])) for n, t in enumerate(tables) if n in last.values()]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else links.sparkSession.createDataFrame([], paths.LABELS)
+
+    active = sorted(x.tile for x in links.select("tile").distinct().collect())
+    while active:
+        before = latest().where(F.size("to") > 0)
+        known = before.where("root is not null").withColumn("tile", F.explode("to")).where(F.col("tile").isin(active)).select("tile", "node", "root", "distance", "links")
+        now = links.where(F.col("tile").isin(active)).groupBy("tile").cogroup(known.groupBy("tile")).applyInArrow(paths.walker, paths.LABELS)
+        tables.append(kept(now))
+        old = before.where(F.col("tile").isin(active)).select("node", F.struct("root", "distance", "links").alias("old"))
+        last.update(dict.fromkeys(active, len(tables) - 1))
+        label = F.struct("root", "distance", "links")
+        none = F.col("old").isNull() & F.col("root").isNull()
+        changed = tables[-1].where(F.size("to") > 0).join(old, "node", "left").where(~none & ~label.eqNullSafe(F.col("old")))
+        active = sorted(x.tile for x in changed.select(F.explode("to").alias("tile")).distinct().collect())
+    x = own.where("not low").join(latest().select(F.col("node").alias("ray_id"), "parent", "root", "distance"), "ray_id", "left")
+    i = F.col("ray_id")
+    roots = own.where("low").select(i, i.alias("parent"), i.alias("root"), F.lit(0.0).alias("distance"))
+    return roots.unionByName(x.select("ray_id", "parent", "root", "distance"))
+
+
+def _links(own: DataFrame, near: float, ground: float, k: int) -> DataFrame:
+    """paths.LINKS between each end and its neighbours, dealt out to tiles of the ends that are no roots."""
+    free = own.where(~F.col("low") & neighbours._finite(*neighbours.E))
+    share = max(1, neighbours.TILE // 64)
+    some = free.where(F.pmod(F.xxhash64("ray_id"), F.lit(share)) == 0) if free.count() > neighbours.TILE else free.limit(0)
+    tree = tiles.splits(some.select(*neighbours.E).toPandas().to_numpy(float).reshape(-1, 3) * paths.FLAT, max(1, neighbours.TILE // share))
+    pairs = nearest(own, own, k, near).where(f"ez >= {float(ground)!r} or oz >= {float(ground)!r}")
+    return kept(pairs.select("ray_id", "ex", "ey", "ez", "other_id", "ox", "oy", "oz", "d2").mapInArrow(paths.dealer(tree, ground), paths.LINKS))
 
 
 def fine_align(a: DataFrame, b: DataFrame, k: int, distance: float, rounds: int = 8) -> tuple[list[list[float]], list[float]]:

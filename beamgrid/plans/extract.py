@@ -21,7 +21,7 @@ def _forest(s, trees):
 register("gen03_forest", lambda s, d: _forest(s, 6))
 register("trk01_trunks", lambda s, d: ex.trunks(_forest(s, 1), 0.4, rounds=3, score=1.0))
 register("jon12_trunks_without_overlaps", lambda s, d: ex.without_overlaps(_trunks(s, d)).select("trunk_id"), duck(f"{_TRUNKS} select trunk_id from tk a where not exists (select 1 from tk b where b.trunk_id <> a.trunk_id and (b.radius > a.radius or (b.radius = a.radius and b.trunk_id < a.trunk_id)) and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < b.radius * b.radius)", "rays", "segments"))
-on_rays("tre01_paths_to_ground", lambda r: ex.paths_to_ground(r, 10.0, 3.0, 1.5, 0.5, 8), None, "rays")
+on_rays("tre01_paths_to_ground", lambda r: ex.paths_to_ground(r, 1.5, 0.5), None, "rays")
 
 
 def _fine(s, d):
