@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .tiles import _xyz
+from .tiles import _xyz, tile_of
 
 #: Ellipsoids in a leaf, and rays that go down a tree together.
 LEAF, TOGETHER = 8, 2048
@@ -16,12 +16,32 @@ RAY = [("sx", "sy", "sz"), ("ex", "ey", "ez")]
 M = ["m_xx", "m_xy", "m_xz", "m_yy", "m_yz", "m_zz"]
 
 
-def _reach(o: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Whether the way from o to o + d meets the box."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = (low - o) / d, (high - o) / d
-    near, far = np.fmin(a, b), np.fmax(a, b)
-    return np.fmax(near.max(-1, initial=-np.inf, where=~np.isnan(near)), 0.0) <= np.fmin(far.min(-1, initial=np.inf, where=~np.isnan(far)), 1.0)
+Axes = list[np.ndarray]
+
+
+def _reach(o: Axes, inverse: Axes, low: Axes, high: Axes, room: tuple[Axes, Axes] | None = None) -> np.ndarray:
+    """Whether the way from o to o + d meets the box; inverse is 1 / d. room: a larger box; a way that begins in it may meet the first one behind its start, too."""
+    near, far, behind = -np.inf, np.inf, room is not None
+    with np.errstate(invalid="ignore", over="ignore"):
+        for axis in range(3):
+            a, b = (low[axis] - o[axis]) * inverse[axis], (high[axis] - o[axis]) * inverse[axis]
+            near, far = np.fmax(near, np.fmin(a, b)), np.fmin(far, np.fmax(a, b))
+            if room is not None:
+                behind = behind & (room[0][axis] <= o[axis]) & (o[axis] <= room[1][axis])
+    return np.where(behind, near, np.maximum(near, 0.0)) <= np.minimum(far, 1.0)
+
+
+def _axes(x: np.ndarray) -> Axes:
+    return [np.ascontiguousarray(x[:, axis]) for axis in range(x.shape[1])]
+
+
+def _at(x: Axes, rows: np.ndarray) -> Axes:
+    return [a.take(rows) for a in x]
+
+
+def _inverse(d: Axes) -> Axes:
+    with np.errstate(divide="ignore"):
+        return [1 / a for a in d]
 
 
 def wide(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,47 +49,83 @@ def wide(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low - 1e-9 * (1 + np.abs(low)), high + 1e-9 * (1 + np.abs(high))
 
 
-def crosser(boxes: tuple[np.ndarray, np.ndarray, np.ndarray], room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each ray once for each tile whose box it meets, with the tile behind. boxes: tiles, low and high corners."""
-    tile, low, high = boxes[0], *wide(boxes[1], boxes[2])
+IN = ("in_low_x", "in_low_y", "in_low_z"), ("in_high_x", "in_high_y", "in_high_z")
+
+
+def snug(mean: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes that hold every point where a ray can be found to meet the ellipsoid, starts being `far` from it at most.
+
+    Its own extents, widened by what rounding can do to the form; where that is too much (flat or thin shapes), the given box.
+    """
+    full = m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+    value = np.linalg.eigvalsh(full) if len(full) else np.zeros((0, 3))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        slack = 64 * np.finfo(float).eps * far * far * value[:, 2] * (value[:, 2] / value[:, 0])
+        sound = (value[:, 0] > 0) & (slack < 1)
+    low, high = low.copy(), high.copy()
+    ext = np.sqrt(np.diagonal(np.linalg.inv(full[sound]), axis1=1, axis2=2)) * np.sqrt(1 + slack[sound, None]) * (1 + 1e-6)
+    low[sound], high[sound] = mean[sound] - ext, mean[sound] + ext
+    return low, high
+
+
+def placer(tree: tuple[np.ndarray, ...], far: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ellipsoids with their snug boxes and their tile behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.table(b)
+            mean = _xyz(t, ("mean_x", "mean_y", "mean_z"))
+            box = snug(mean, np.stack([t[c].to_numpy() for c in M], 1), _xyz(t, ("low_x", "low_y", "low_z")), _xyz(t, ("high_x", "high_y", "high_z")), far)
+            for names, x in zip(IN, box, strict=True):
+                for axis, name in enumerate(names):
+                    b = b.append_column(name, pa.array(x[:, axis]))
+            yield b.append_column("tile", pa.array(tile_of(tree, mean), pa.int32()))
+
+    return run
+
+
+def crosser(boxes: tuple[np.ndarray, ...], room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each ray once for each tile whose box it meets, with the tile behind. boxes: tiles, low and high corners of snug boxes and of all."""
+    tile, low, high, around = boxes[0], *wide(boxes[1], boxes[2]), wide(boxes[3], boxes[4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, room // max(1, len(tile)))
         for b in batches:
             t = pa.table(b)
-            o = _xyz(t, RAY[0])
-            d = _xyz(t, RAY[1]) - o
-            for k in range(0, len(o) if len(tile) else 0, step):
-                r, i = np.nonzero(_reach(o[k : k + step, None], d[k : k + step, None], low[None], high[None]))
+            start, end = (_xyz(t, n) for n in RAY)
+            o, inverse = _axes(start), _inverse(_axes(end - start))
+            for k in range(0, len(start) if len(tile) else 0, step):
+                part = [[a[k : k + step, None] for a in x] for x in (o, inverse)]
+                r, i = np.nonzero(_reach(*part, low.T, high.T, (around[0].T, around[1].T)))
                 yield b.take(pa.array(r + k)).append_column("tile", pa.array(tile[i], pa.int32()))
 
     return run
 
 
-def _tree(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """An order of the boxes, and nodes: their low and high corners, both children (0 for a leaf) and their first and last place in the order."""
+def _tree(low: np.ndarray, high: np.ndarray, around: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """An order of the boxes, and nodes: their low and high corners, those of the boxes around, both children (0 for a leaf) and their first and last place in the order."""
     mid, order = (low + high) / 2, np.arange(len(low))
     nodes: list[tuple] = []
 
     def grow(a: int, b: int) -> int:
         own, me = order[a:b], len(nodes)
-        nodes.append((low[own].min(0), high[own].max(0), [0, 0], (a, b)))
+        nodes.append((low[own].min(0), high[own].max(0), around[0][own].min(0), around[1][own].max(0), [0, 0], (a, b)))
         if b - a > LEAF:
             p = mid[own]
             half = (b - a) // 2
             order[a:b] = own[np.argpartition(p[:, int(np.ptp(p, axis=0).argmax())], half)]
-            nodes[me][2][:] = grow(a, a + half), grow(a + half, b)
+            nodes[me][4][:] = grow(a, a + half), grow(a + half, b)
         return me
 
     grow(0, len(low))
-    return order, *(np.array([n[k] for n in nodes]) for k in range(4))
+    return order, *(np.array([n[k] for n in nodes]) for k in range(6))
 
 
-def _form(m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(p))
+def _form(m: Axes, p: Axes, q: Axes) -> np.ndarray:
+    out = 0.0
     for i in range(3):
         for j in range(3):
-            out = out + m[:, (0, 1, 2, 1, 3, 4, 2, 4, 5)[3 * i + j]] * p[:, i] * q[:, j]
+            out = out + m[(0, 1, 2, 1, 3, 4, 2, 4, 5)[3 * i + j]] * p[i] * q[j]
     return out
 
 
@@ -79,35 +135,50 @@ def finder(pass_distance: float, schema: pa.Schema) -> Callable[[tuple, pa.Table
     def run(key: tuple, shapes: pa.Table, rays: pa.Table) -> pa.Table:
         if not len(shapes) or not len(rays):
             return schema.empty_table()
-        mean, m = _xyz(shapes, ("mean_x", "mean_y", "mean_z")), np.stack([shapes[c].to_numpy() for c in M], 1)
+        mean, m = _axes(_xyz(shapes, ("mean_x", "mean_y", "mean_z"))), _axes(np.stack([shapes[c].to_numpy() for c in M], 1))
         box = wide(_xyz(shapes, ("low_x", "low_y", "low_z")), _xyz(shapes, ("high_x", "high_y", "high_z")))
-        order, low, high, child, span = _tree(*box)
+        own = wide(_xyz(shapes, IN[0]), _xyz(shapes, IN[1]))
+        around = np.minimum(own[0], box[0]), np.maximum(own[1], box[1])
+        beyond = ((own[0] < box[0]) | (own[1] > box[1])).any(1)  # a ray may meet these outside their box
+        order, low, high, *outer, child, span = _tree(*own, around)
+        low, high, outer, box, own, around = (_axes(low), _axes(high), *([_axes(y) for y in x] for x in (outer, box, own, around)))
         start, end = (_xyz(rays, n) for n in RAY)
-        ray = end - start
+        within = np.all([(outer[0][a][0] <= start[:, a]) & (start[:, a] <= outer[1][a][0]) for a in range(3)], 0)
+        start, ray = _axes(start), _axes(end - start)
+        inverse = _inverse(ray)
         found: list[tuple[np.ndarray, ...]] = []
-        for k in range(0, len(ray), TOGETHER):
-            r = np.arange(k, min(k + TOGETHER, len(ray)))
-            at = np.zeros(len(r), np.int64)
-            while len(r):
-                on = _reach(start[r], ray[r], low[at], high[at])
-                r, at = r[on], at[on]
-                leaf = child[at, 0] == 0
-                n = span[at[leaf], 1] - span[at[leaf], 0]
-                p = np.repeat(r[leaf], n)
-                i = order[np.repeat(span[at[leaf], 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                on = _reach(start[p], ray[p], box[0][i], box[1][i])
-                p, i = p[on], i[on]
-                to, d = mean[i] - start[p], ray[p]
-                rr, tr, tt = _form(m[i], d, d), _form(m[i], to, d), _form(m[i], to, to)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d2 = tt - tr * tr / rr
-                    along, rl = np.sqrt(np.maximum(0.0, 1.0 - d2)), np.sqrt(rr)
-                    middle = tr / rl
-                    passes = rl * (1.0 - pass_distance / np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])) > middle + along
-                on = (d2 <= 1.0) & (rl >= middle - along)
-                sure = np.minimum(rl, middle + along) - np.maximum(0.0, middle - along) > 1e-9 * rl
-                found.append((p[on], i[on], passes[on], sure[on]))
-                r, at = np.repeat(r[~leaf], 2), child[at[~leaf]].ravel()
+        for rows, inside in ((np.flatnonzero(within), True), (np.flatnonzero(~within), False)):
+            for k in range(0, len(rows), TOGETHER):
+                r = rows[k : k + TOGETHER]
+                at = np.zeros(len(r), np.int64)
+                while len(r):
+                    on = _reach(_at(start, r), _at(inverse, r), _at(low, at), _at(high, at), (_at(outer[0], at), _at(outer[1], at)) if inside else None)
+                    r, at = r[on], at[on]
+                    leaf = child[at, 0] == 0
+                    first = span[at[leaf], 0]
+                    n = span[at[leaf], 1] - first
+                    p = np.repeat(r[leaf], n)
+                    i = order.take(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                    on = _reach(_at(start, p), _at(inverse, p), _at(own[0], i), _at(own[1], i), (_at(around[0], i), _at(around[1], i)) if inside else None)
+                    p, i = p[on], i[on]
+                    odd = np.flatnonzero(beyond[i]) if not inside else np.arange(len(i))
+                    off = odd[~_reach(_at(start, p[odd]), _at(inverse, p[odd]), _at(box[0], i[odd]), _at(box[1], i[odd]))]
+                    p, i = np.delete(p, off), np.delete(i, off)
+                    d = _at(ray, p)
+                    to = [x - y for x, y in zip(_at(mean, i), _at(start, p), strict=True)]
+                    of = _at(m, i)
+                    rr, tr, tt = _form(of, d, d), _form(of, to, d), _form(of, to, to)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d2 = tt - tr * tr / rr
+                        on = np.flatnonzero(d2 <= 1.0)
+                        p, i, rr, tr, d2, d = p[on], i[on], rr[on], tr[on], d2[on], _at(d, on)
+                        along, rl = np.sqrt(np.maximum(0.0, 1.0 - d2)), np.sqrt(rr)
+                        middle = tr / rl
+                        passes = rl * (1.0 - pass_distance / np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])) > middle + along
+                    on = rl >= middle - along
+                    sure = np.minimum(rl, middle + along) - np.maximum(0.0, middle - along) > 1e-9 * rl
+                    found.append((p[on], i[on], passes[on], sure[on]))
+                    r, at = np.repeat(r[~leaf], 2), child[at[~leaf]].ravel()
         p, i, passes, sure = (np.concatenate(x) for x in zip(*found, strict=True))
         columns = [shapes["shape_id"].take(pa.array(i)), shapes["shape_time"].take(pa.array(i)), rays["ray_id"].take(pa.array(p)), rays["time"].take(pa.array(p)), pa.array(passes), pa.array(sure)]
         return pa.table(columns, ["shape_id", "shape_time", "ray_id", "time", "passes", "sure"]).cast(schema)

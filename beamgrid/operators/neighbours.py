@@ -190,15 +190,21 @@ def intersect(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: f
     n, share, room = s.count(), max(1, TILE // 64), max(1, int(ONE_ROUND))
     some = s.where(F.pmod(F.xxhash64("shape_id"), F.lit(share)) == 0) if n > TILE else s.limit(0)
     tree = tiles.splits(some.select(*mean).toPandas().to_numpy(float).reshape(-1, 3), max(1, TILE // share))
-    cut = len(tree[0]) > 0
-    tiled = kept(s.mapInArrow(tiles.tiler(tree, tuple(mean)), T.StructType([*s.schema, T.StructField("tile", T.IntegerType())])) if cut else s.withColumn("tile", F.lit(1)))
-    b = tiled.groupBy("tile").agg(*[F.min(f"low_{a}").alias(f"low_{a}") for a in "xyz"], *[F.max(f"high_{a}").alias(f"high_{a}") for a in "xyz"]).orderBy("tile").toPandas()
-    boxes = b["tile"].to_numpy(np.int32), b[[f"low_{a}" for a in "xyz"]].to_numpy(float), b[[f"high_{a}" for a in "xyz"]].to_numpy(float)
     ends = [f"{e}{a}" for e in "se" for a in "xyz"]
     r = rays.where(_finite(*ends)).select("ray_id", "time", *[F.col(c).cast("double").alias(c) for c in ends])
+    of = lambda df, names: np.array(df.agg(*[f(c) for f in (F.min, F.max) for c in names]).first(), float).reshape(2, 3)
+    starts, means = of(r, ends[:3]), of(s, mean)
+    far = float(np.linalg.norm(np.maximum(starts[1] - means[0], means[1] - starts[0])))  # nan if there are no rays or no shapes
+    snug = [c for side in meets.IN for c in side]
+    tiled = kept(s.mapInArrow(meets.placer(tree, far), T.StructType([*s.schema, *[T.StructField(c, T.DoubleType()) for c in snug], T.StructField("tile", T.IntegerType())])))
+    corners = [*[F.min(c).alias(c) for c in snug[:3]], *[F.max(c).alias(c) for c in snug[3:]]]
+    for side, f, least in (("low", F.min, F.least), ("high", F.max, F.greatest)):
+        corners += [f(least(f"{side}_{a}", f"in_{side}_{a}")).alias(f"{side}_{a}") for a in "xyz"]
+    b = tiled.groupBy("tile").agg(*corners).orderBy("tile").toPandas()
+    boxes = b["tile"].to_numpy(np.int32), *[b[list(c)].to_numpy(float) for c in (snug[:3], snug[3:], [f"low_{a}" for a in "xyz"], [f"high_{a}" for a in "xyz"])]
     crossing = kept(r.mapInArrow(meets.crosser(boxes, room), T.StructType([*r.schema, T.StructField("tile", T.IntegerType())])))
     schema = T.StructType([s.schema["shape_id"], s.schema["shape_time"], r.schema["ray_id"], r.schema["time"], T.StructField("passes", T.BooleanType()), T.StructField("sure", T.BooleanType())])
-    x = _met(tiled.select("tile", "shape_id", "shape_time", *mean, *meets.M, *edges), crossing, meets.finder(pass_distance, to_arrow_schema(schema)), schema)
+    x = _met(tiled.select("tile", "shape_id", "shape_time", *mean, *meets.M, *edges, *snug), crossing, meets.finder(pass_distance, to_arrow_schema(schema)), schema)
     odd = x.where("not sure")
     steps = walk(rays.join(odd.select("ray_id").distinct(), "ray_id", "left_semi"), width).select("ray_id", "vx", "vy", "vz")
     inside = functools.reduce(lambda p, q: p & q, [F.col(f"v{a}").between(F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"])
