@@ -129,8 +129,42 @@ def _form(m: Axes, p: Axes, q: Axes) -> np.ndarray:
     return out
 
 
-def finder(pass_distance: float, schema: pa.Schema) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """For a tile's ellipsoids and rays: the pairs that meet, their outcome, and whether the ray goes through the ellipsoid itself (sure)."""
+#: Sums over the sure pairs of an ellipsoid and a part of the rays, parts being in order of time. before and after: passes before the part's first hit and
+#: after its last one. first_ray: the first ray that passes, by id. Rows with a ray_id are pairs that are not in these sums.
+TALLY = "part int, hits long, passes long, first_hit double, last_hit double, before long, after long, first_ray long, first_pass double, ray_id long, sure boolean"
+
+
+def _tally(key: tuple, shapes: pa.Table, rays: pa.Table, p: np.ndarray, i: np.ndarray, passes: np.ndarray, sure: np.ndarray) -> pa.Table:
+    n, time, ray = len(shapes), rays["time"].to_numpy().astype(float), rays["ray_id"].to_numpy()
+    plain = sure & np.isfinite(time[p])
+    q, odd, odd_shape, odd_sure = plain & passes, p[~plain], i[~plain], sure[~plain]
+    hit_shape, hit_time = i[plain & ~passes], time[p[plain & ~passes]]
+    p, i = p[q], i[q]
+    hits, gone = np.bincount(hit_shape, minlength=n), np.bincount(i, minlength=n)
+    first, last, least, seen = np.full(n, np.inf), np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max), np.zeros(n)
+    np.minimum.at(first, hit_shape, hit_time)
+    np.maximum.at(last, hit_shape, hit_time)
+    np.minimum.at(least, i, ray[p])
+    x = least[i] == ray[p]
+    seen[i[x]] = time[p[x]]
+    before, after = np.bincount(i[time[p] < first[i]], minlength=n), np.bincount(i[time[p] > last[i]], minlength=n)
+    own = np.flatnonzero(hits + gone)
+    rest = len(odd)
+    no_hit, no_pass = (np.r_[x[own] == 0, np.ones(rest, bool)] for x in (hits, gone))
+    zero = np.zeros(rest, np.int64)
+    rows = pa.array(np.r_[own, odd_shape])
+    columns = {c: shapes[c].take(rows) for c in ("shape_id", "shape_time")} | {"part": pa.array(np.full(len(rows), key[1].as_py()), pa.int32())}
+    columns |= {k: pa.array(np.r_[v[own], zero]) for k, v in (("hits", hits), ("passes", gone), ("before", before), ("after", after))}
+    columns |= {k: pa.array(np.r_[v[own], zero], mask=mask) for k, v, mask in (("first_hit", first, no_hit), ("last_hit", last, no_hit), ("first_ray", least, no_pass), ("first_pass", seen, no_pass))}
+    pair = np.r_[np.zeros(len(own), bool), np.ones(rest, bool)]
+    return pa.table(columns | {"ray_id": pa.array(np.r_[np.zeros(len(own), np.int64), ray[odd]], mask=~pair), "sure": pa.array(np.r_[np.ones(len(own), bool), odd_sure])})
+
+
+def finder(pass_distance: float, schema: pa.Schema, tally: bool = False) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """For a tile's ellipsoids and rays: the pairs that meet, their outcome, and whether the ray goes through the ellipsoid itself (sure).
+
+    tally: sums for each ellipsoid instead, and only those pairs that are not sure or have no time.
+    """
 
     def run(key: tuple, shapes: pa.Table, rays: pa.Table) -> pa.Table:
         if not len(shapes) or not len(rays):
@@ -180,6 +214,8 @@ def finder(pass_distance: float, schema: pa.Schema) -> Callable[[tuple, pa.Table
                     found.append((p[on], i[on], passes[on], sure[on]))
                     r, at = np.repeat(r[~leaf], 2), child[at[~leaf]].ravel()
         p, i, passes, sure = (np.concatenate(x) for x in zip(*found, strict=True))
+        if tally:
+            return _tally(key, shapes, rays, p, i, passes, sure).select(schema.names).cast(schema)
         columns = [shapes["shape_id"].take(pa.array(i)), shapes["shape_time"].take(pa.array(i)), rays["ray_id"].take(pa.array(p)), rays["time"].take(pa.array(p)), pa.array(passes), pa.array(sure)]
         return pa.table(columns, ["shape_id", "shape_time", "ray_id", "time", "passes", "sure"]).cast(schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,14 +30,21 @@ def _finite(*columns: str) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in columns])
 
 
-def _met(others: DataFrame, points: DataFrame, run: Callable, schema: str | None = None) -> DataFrame:
-    """run over each tile's others and points. Where a tile has many points, they are dealt out, each part with all its others."""
-    parts = points.groupBy("tile").count().where(F.col("count") > 2 * TILE).select("tile", F.ceil(F.col("count") / (2 * TILE)).cast("int").alias("_parts")).collect()
+def _met(others: DataFrame, points: DataFrame, run: Callable, schema: str | None = None, by: str | None = None) -> DataFrame:
+    """run over each tile's others and points. Where a tile has many points, they are dealt out, each part with all its others.
+
+    by: parts are in order of that column (equal values together), else at random.
+    """
+    cuts = F.percentile_approx(by, [k / 256 for k in range(1, 256)], 10000) if by else F.lit(None)
+    parts = points.groupBy("tile").agg(F.count("*").alias("n"), cuts.alias("cuts")).where(F.col("n") > 2 * TILE).collect()
     if parts:
-        many = F.broadcast(points.sparkSession.createDataFrame(parts, "tile int, _parts int"))
+        n = [min(256, math.ceil(x.n / (2 * TILE))) if by else math.ceil(x.n / (2 * TILE)) for x in parts]
+        rows = [(x.tile, k, [x.cuts[256 * j // k - 1] for j in range(1, k)] if by and x.cuts else []) for x, k in zip(parts, n, strict=True)]
+        many = F.broadcast(points.sparkSession.createDataFrame(rows, "tile int, _parts int, _cuts array<double>"))
         n = F.coalesce("_parts", F.lit(1))
-        others = others.join(many, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
-        points = points.join(many, "tile", "left").withColumn("part", F.pmod(F.xxhash64("ray_id"), n.cast("long")).cast("int")).drop("_parts")
+        others = others.join(many, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts", "_cuts")
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(by))), F.lit(0)) if by else F.pmod(F.xxhash64("ray_id"), n.cast("long")).cast("int")
+        points = points.join(many, "tile", "left").withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(part)).drop("_parts", "_cuts")
     else:
         others, points = others.withColumn("part", F.lit(0)), points.withColumn("part", F.lit(0))
     if schema is None:
@@ -174,11 +182,40 @@ def intersect(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: f
     a voxel that the ellipsoid's box touches; a ray through the ellipsoid itself does, the others (those that lie beside a ray's
     start, in its line) are walked.
     """
+    s, r, run = _tiled(shapes, rays, width, pass_distance)
+    schema = T.StructType([s.schema["shape_id"], s.schema["shape_time"], r.schema["ray_id"], r.schema["time"], T.StructField("passes", T.BooleanType()), T.StructField("sure", T.BooleanType())])
+    x = run(schema)
+    walked = _walked(x.where("not sure"), s, rays, width).select(*x.columns)
+    return x.where("sure").unionByName(walked).select("shape_id", "shape_time", "ray_id", "time", F.when(F.col("passes"), "pass").otherwise("hit").alias("outcome"))
+
+
+def tally(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """What intersect() finds, without a row for each pair: meets.TALLY with shape_id and shape_time, and the shape_ids of those with pairs besides."""
+    from . import meets
+
+    s, r, run = _tiled(shapes, rays, width, pass_distance)
+    x = run(T.StructType([s.schema["shape_id"], s.schema["shape_time"], *T._parse_datatype_string(meets.TALLY)]), True)
+    odd = x.where("ray_id is not null").select("shape_id", "ray_id", "sure")
+    walked = _walked(odd.where("not sure"), s, rays, width)
+    besides = kept(odd.where("sure").select("shape_id").unionByName(walked.select("shape_id")).distinct())
+    return x.where("ray_id is null"), besides
+
+
+def _walked(odd: DataFrame, shapes: DataFrame, rays: DataFrame, width: float) -> DataFrame:
+    """Those of the pairs (shape_id, ray_id) whose ray comes to a voxel that the ellipsoid's box touches."""
+    from .voxel import walk
+
+    steps = walk(rays.join(odd.select("ray_id").distinct(), "ray_id", "left_semi"), width).select("ray_id", "vx", "vy", "vz")
+    inside = functools.reduce(lambda p, q: p & q, [F.col(f"v{a}").between(F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"])
+    return odd.join(shapes.select("shape_id", *[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]), "shape_id").join(steps, "ray_id").where(inside).select(*odd.columns).distinct()
+
+
+def _tiled(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: float) -> tuple[DataFrame, DataFrame, Callable[..., DataFrame]]:
+    """The ellipsoids with their voxels, the rays, and the search, which makes rows of a schema: pairs, or a tally."""
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from . import meets, tiles
-    from .voxel import walk
 
     mean = [f"mean_{a}" for a in "xyz"]
     s = shapes.where(_finite(*mean, *[f"ext_{a}" for a in "xyz"], *meets.M)).withColumnRenamed("ray_id", "shape_id").withColumnRenamed("time", "shape_time")
@@ -203,13 +240,8 @@ def intersect(shapes: DataFrame, rays: DataFrame, width: float, pass_distance: f
     b = tiled.groupBy("tile").agg(*corners).orderBy("tile").toPandas()
     boxes = b["tile"].to_numpy(np.int32), *[b[list(c)].to_numpy(float) for c in (snug[:3], snug[3:], [f"low_{a}" for a in "xyz"], [f"high_{a}" for a in "xyz"])]
     crossing = kept(r.mapInArrow(meets.crosser(boxes, room), T.StructType([*r.schema, T.StructField("tile", T.IntegerType())])))
-    schema = T.StructType([s.schema["shape_id"], s.schema["shape_time"], r.schema["ray_id"], r.schema["time"], T.StructField("passes", T.BooleanType()), T.StructField("sure", T.BooleanType())])
-    x = _met(tiled.select("tile", "shape_id", "shape_time", *mean, *meets.M, *edges, *snug), crossing, meets.finder(pass_distance, to_arrow_schema(schema)), schema)
-    odd = x.where("not sure")
-    steps = walk(rays.join(odd.select("ray_id").distinct(), "ray_id", "left_semi"), width).select("ray_id", "vx", "vy", "vz")
-    inside = functools.reduce(lambda p, q: p & q, [F.col(f"v{a}").between(F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"])
-    walked = odd.join(s.select("shape_id", *[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"]), "shape_id").join(steps, "ray_id").where(inside).select(*x.columns).distinct()
-    return x.where("sure").unionByName(walked).select("shape_id", "shape_time", "ray_id", "time", F.when(F.col("passes"), "pass").otherwise("hit").alias("outcome"))
+    run = lambda schema, tally=False: _met(tiled.select("tile", "shape_id", "shape_time", *mean, *meets.M, *edges, *snug), crossing, meets.finder(pass_distance, to_arrow_schema(schema), tally), schema, "time" if tally else None)
+    return s, r, run
 
 
 def colour_by_shape(rays: DataFrame, k: int, distance: float | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ on_rays("jon07_ellipsoid_rays", lambda x: nn.intersect(nn.ellipsoids(x, K, D), x
 _EV = """ag as (select shape_id, shape_time, count(*) filter (outcome = 'hit') hits, count(*) filter (outcome = 'pass') passes, min(time) filter (outcome = 'hit') fh, max(time) filter (outcome = 'hit') lh from meet group by all),
 gn as (select shape_id, count(*) filter (outcome = 'pass' and meet.time < coalesce(fh, 'inf'::double) and not meet.time > coalesce(lh, '-inf'::double)) nb, count(*) filter (outcome = 'pass' and meet.time > coalesce(lh, '-inf'::double)) na from meet join ag using (shape_id) group by shape_id),
 ev as (select ag.*, nb, na, case when hits = 0 then 0.0::double else (hits + (1e-8::double - 1.0::double)) / ((hits + (1e-8::double - 1.0::double)) + passes - nb - na) end op from ag join gn using (shape_id))"""
-on_rays("mrg01_transient_evidence", lambda x: m.evidence(nn.intersect(nn.kept(nn.ellipsoids(x, K, D)), x, W), True).select("shape_id", "hits", "passes", "num_before", "num_after", F.round("opacity", 5).alias("opacity")), f"{_SELF}, {_EV} select shape_id, hits, passes, nb num_before, na num_after, round(op, 5) opacity from ev", "rays")
+on_rays("mrg01_transient_evidence", lambda x: m.found(nn.kept(nn.ellipsoids(x, K, D)), x, W, True).select("shape_id", "hits", "passes", "num_before", "num_after", F.round("opacity", 5).alias("opacity")), f"{_SELF}, {_EV} select shape_id, hits, passes, nb num_before, na num_after, round(op, 5) opacity from ev", "rays")
 
 
 def _mode(mode: str, n: float):
